@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problem1", "problem2", "problem6", "problem7", "problem8")
+MODULES = ("problem1", "problem2", "problem6", "problem7", "problem8", "problem9")
 
 
 def queries() -> dict:
