@@ -24,8 +24,9 @@ def _col(c: Column | str) -> Column:
 
 
 def _quad(number: Column) -> Column:
-    parts = [(F.shiftright(number, s).bitwiseAND(F.lit(255))).cast("string") for s in (24, 16, 8, 0)]
-    return F.concat_ws(".", *parts)
+    """Dotted quad of an unsigned 32-bit number. Kept out of generated code, where four copies of ``number`` would crowd out the common case."""
+    shifts = F.array(*[F.lit(s) for s in (24, 16, 8, 0)])
+    return F.array_join(F.transform(shifts, lambda s: F.call_function("shiftright", number, s).bitwiseAND(F.lit(255).cast("long")).cast("string")), ".")
 
 
 def host(c: Column | str) -> Column:
@@ -38,14 +39,9 @@ def host(c: Column | str) -> Column:
     """
     s = F.lower(F.regexp_replace(_col(c), BLANKS, ""))
     dotted = F.regexp_replace(F.regexp_extract(s, DOTTED, 1), r"(^|\.)0+([0-9])", "$1$2")
-    high, low = (F.conv(F.regexp_extract(s, MAPPED_HEX, i), 16, 10).cast("long") for i in (1, 2))
-    number = F.expr("null").cast("long")
-    number = F.when(s.rlike(INTEGER), F.coalesce(s.try_cast("long"), F.lit(-1))).otherwise(number)
-    return (
-        F.when(dotted.rlike(OCTETS), dotted)
-        .when(s.rlike(MAPPED_HEX), _quad(high * 65536 + low))
-        .when((number >= 0) & (number <= 4294967295), _quad(number))
-    )
+    digits = F.concat(*[F.lpad(F.regexp_extract(s, MAPPED_HEX, i), 4, "0") for i in (1, 2)])
+    number = F.when(s.rlike(MAPPED_HEX), F.conv(digits, 16, 10)).when(s.rlike(INTEGER), s).cast("long")
+    return F.when(dotted.rlike(OCTETS), dotted).when(number <= 4294967295, _quad(number))
 
 
 def flow_id(c: Column | str) -> Column:
