@@ -89,13 +89,17 @@ def select(
     that holds a target rank; ``keep`` may write the few targets down between
     passes. Null groups are groups; empty input gives no rows.
     """
-    known = values.where(F.col(value).isNotNull()).select(*groups, ordered_bits(F.col(value)).alias("_k"))
+    group = F.xxhash64(*groups)
+    known = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), group.alias("_g"))
     targets = keep(locate(first if first is not None else state(values, groups, value), groups, probs))
     for before, shift in zip(SHIFTS, SHIFTS[1:], strict=False):
-        follow = targets.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("digit").alias("_path")).distinct()
+        low = F.col("digit") * F.lit(1 << before)
+        ends = [from_bits(low).alias("_lo"), from_bits(low + F.lit((1 << before) - 1)).alias("_hi")]
+        follow = targets.select(*[F.col(g).alias(f"_{g}") for g in groups], group.alias("_h"), F.col("digit").alias("_path"), *ends).distinct()
         same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-        met = known.withColumn("_p", F.shiftright("_k", before)).join(follow, [F.col("_p") == F.col("_path"), *same])
-        counted = met.groupBy(*groups, "_path", F.shiftright("_k", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+        # The digit's range is compared as doubles, so only the few values inside are taken apart into bits.
+        met = known.join(follow, [F.col("_g") == F.col("_h"), F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi"), *same])
+        counted = met.groupBy(*groups, "_path", F.shiftright(ordered_bits(F.col("_v")), shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
         order = W.partitionBy(*groups, "_path").orderBy("digit")
         counted = counted.withColumn("_upto", F.sum("n").over(order))
         t = targets.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("digit").alias("_at"), "n_values", "prob", "rank")
