@@ -9,15 +9,28 @@ from skeinflow.operators.skew import salted_lookup
 from skeinflow.session import discard, materialize
 
 
+def _roots(step: DataFrame) -> DataFrame:
+    """Follow ``m`` from every node to its end by pointer doubling: node, to. Pointers only ever go to smaller nodes."""
+    while True:
+        second = step.select(F.col("node").alias("m"), F.col("m").alias("mm"))
+        jump = materialize(step.join(second, "m").select("node", F.col("mm").alias("to"), (F.col("mm") != F.col("m")).alias("moved")), "cc-jump")
+        discard(step)
+        if not jump.where("moved").take(1):
+            return jump
+        step = jump.select("node", F.col("to").alias("m"))
+        step._skeinflow_path = jump._skeinflow_path
+
+
 def smallest_in_component(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Map every node (string ``node``) to the smallest node of its component (``label``, byte order).
 
     ``edges`` has string columns ``a`` and ``b``; loops and repeats are fine, rows
-    with a null end are left out. Each round every node steps to the smallest
-    node within two hops and the edges are redrawn between the nodes stepped to:
-    the image of a connected graph stays connected and its smallest node maps to
-    itself, so once no edge is left each node has reached the smallest node of its
-    component. Hubs collapse at once, chains shrink by a factor a round. Nothing
+    with a null end are left out. Each round every node points to its smallest
+    neighbour or itself, pointers are followed to their ends, and the edges are
+    redrawn between the ends: only nodes smaller than all their neighbours are left, at
+    most half of those with an edge, so rounds are logarithmic, and so is the doubling within
+    one. A component stays connected and keeps its smallest node, which is what is
+    left of it in the end. Nothing
     goes to the driver but one number a round; every round is written to the
     shared folder, so a lost executor costs no more than a stage.
     """
@@ -32,15 +45,14 @@ def smallest_in_component(edges: DataFrame, rounds: int = 60) -> DataFrame:
         directed = open_edges.unionAll(open_edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = directed.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
         step = materialize(step, "cc-step")
-        second = step.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        jump = materialize(step.join(second, "m").select("node", F.col("mm").alias("to")), "cc-jump")
+        jump = _roots(step)
         at_a = jump.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         at_b = jump.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         redrawn = open_edges.join(at_a, "a").join(at_b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         fresh = materialize(redrawn.where("a <> b").distinct(), "cc-edges")
         moved = labels.join(jump.select(F.col("node").alias("label"), "to"), "label", "left")
         moved = materialize(moved.select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
-        for old in (left, labels, step, jump):
+        for old in (left, labels, jump):
             discard(old)
         left, labels = fresh, moved
     else:
