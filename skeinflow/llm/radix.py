@@ -64,11 +64,11 @@ def locate(histogram: DataFrame, groups: Sequence[str], probs: Sequence[float])
     """For each group and probability the digit that holds the nearest rank ceil(p * n), and the rank within it."""
     order = W.partitionBy(*groups).orderBy("digit")
     total = F.sum("n").over(W.partitionBy(*groups))
-    h = histogram.withColumn("_upto", F.sum("n").over(order)).withColumn("n_values", total)
+    h = histogram.withColumn("__upto", F.sum("n").over(order)).withColumn("n_values", total)
     targets = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n_values"))).cast("long").alias("rank")) for p in probs])
-    inside = F.filter(targets, lambda t: (t["rank"] <= F.col("_upto")) & (t["rank"] > F.col("_upto") - F.col("n")))
-    hit = h.withColumn("_t", F.explode(inside))
-    return hit.select(*groups, "n_values", F.col("_t.prob").alias("prob"), "digit", (F.col("_t.rank") - F.col("_upto") + F.col("n")).alias("rank"))
+    inside = F.filter(targets, lambda t: (t["rank"] <= F.col("__upto")) & (t["rank"] > F.col("__upto") - F.col("n")))
+    hit = h.withColumn("__t", F.explode(inside))
+    return hit.select(*groups, "n_values", F.col("__t.prob").alias("prob"), "digit", (F.col("__t.rank") - F.col("__upto") + F.col("n")).alias("rank"))
 
 
 def read(states: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -90,20 +90,20 @@ def select(
     passes. Null groups are groups; empty input gives no rows.
     """
     group = F.xxhash64(*groups)
-    known = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), group.alias("_g"))
+    known = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("__v"), group.alias("__g"))
     targets = keep(locate(first if first is not None else state(values, groups, value), groups, probs))
     for before, shift in zip(SHIFTS, SHIFTS[1:], strict=False):
         low = F.col("digit") * F.lit(1 << before)
-        ends = [from_bits(low).alias("_lo"), from_bits(low + F.lit((1 << before) - 1)).alias("_hi")]
-        follow = targets.select(*[F.col(g).alias(f"_{g}") for g in groups], group.alias("_h"), F.col("digit").alias("_path"), *ends).distinct()
-        same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+        ends = [from_bits(low).alias("__lo"), from_bits(low + F.lit((1 << before) - 1)).alias("__hi")]
+        follow = targets.select(*[F.col(g).alias(f"__grp_{g}") for g in groups], group.alias("__h"), F.col("digit").alias("__path"), *ends).distinct()
+        same = [F.col(g).eqNullSafe(F.col(f"__grp_{g}")) for g in groups]
         # The digit's range is compared as doubles, so only the few values inside are taken apart into bits.
-        met = known.join(follow, [F.col("_g") == F.col("_h"), F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi"), *same])
-        counted = met.groupBy(*groups, "_path", F.shiftright(ordered_bits(F.col("_v")), shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-        order = W.partitionBy(*groups, "_path").orderBy("digit")
-        counted = counted.withColumn("_upto", F.sum("n").over(order))
-        t = targets.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("digit").alias("_at"), "n_values", "prob", "rank")
-        pair = counted.join(t, [F.col("_path") == F.col("_at"), *same])
-        pair = pair.where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("n")))
-        targets = keep(pair.select(*groups, "n_values", "prob", "digit", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank")))
+        met = known.join(follow, [F.col("__g") == F.col("__h"), F.col("__v") >= F.col("__lo"), F.col("__v") <= F.col("__hi"), *same])
+        counted = met.groupBy(*groups, "__path", F.shiftright(ordered_bits(F.col("__v")), shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+        order = W.partitionBy(*groups, "__path").orderBy("digit")
+        counted = counted.withColumn("__upto", F.sum("n").over(order))
+        t = targets.select(*[F.col(g).alias(f"__grp_{g}") for g in groups], F.col("digit").alias("__at"), "n_values", "prob", "rank")
+        pair = counted.join(t, [F.col("__path") == F.col("__at"), *same])
+        pair = pair.where((F.col("rank") <= F.col("__upto")) & (F.col("rank") > F.col("__upto") - F.col("n")))
+        targets = keep(pair.select(*groups, "n_values", "prob", "digit", (F.col("rank") - F.col("__upto") + F.col("n")).alias("rank")))
     return targets.select(*groups, "n_values", "prob", from_bits(F.col("digit")).alias("value"), F.lit(0.0).alias("max_relative_error"))
