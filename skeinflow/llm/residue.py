@@ -177,7 +177,12 @@ def _sentences(text: str) -> Iterator[tuple[int, str]]:
         yield at, text[at:]
 
 
+_MAYBE = re.compile(r"[{<@$\[]|%[(\w]|__|TODO|TBD|FIXME|OFFEN|BỔ SUNG")
+
+
 def _placeholder(text: str) -> bool:
+    if not _MAYBE.search(text):
+        return False
     for m in _PLACEHOLDER.finditer(text):
         line = text.rfind("\n", 0, m.start()) + 1
         if m.lastgroup == "square_caps":
@@ -198,8 +203,12 @@ def _placeholder(text: str) -> bool:
     return False
 
 
-def _babble(words: list[str]) -> bool:
+def _babble(paragraph: str) -> bool:
     """A stretch of plain words that hardly uses the function words of any language: pseudo-Latin or keys struck at random."""
+    words = _WORD.findall(paragraph)
+    lower = set(paragraph.lower().split())
+    if len(words) < 10 or max(len(lower & language) for language in FUNCTION_WORDS) >= 4:
+        return False
     plain = [w.strip(".,;:!?").lower() for w in words]
     alphabetic = [w for w in plain if w.isalpha() and w.isascii()]
     if len(alphabetic) < 10 or len(alphabetic) < 0.95 * len(plain):
@@ -213,7 +222,7 @@ def _filler(text: str) -> bool:
         if not re.fullmatch(r"[a-f ]+", m.group(1)):
             return True
     for paragraph in re.split(r"\n+", text):
-        if _babble(_WORD.findall(paragraph)):
+        if _babble(paragraph):
             return True
     for _, s in _sentences(text):
         m = _LOREM.search(s)
