@@ -73,7 +73,7 @@ def record_groups(states: DataFrame, salts: int = 8) -> DataFrame:
     many hosts adds one edge per host and no pairs. Hot hosts are spread over
     ``salts`` tasks when rows fetch their group.
     """
-    seen = states.select("src_host", "dst_host", "fid").distinct()
+    seen = materialize(states.select("src_host", "dst_host", "fid").distinct(), "record-links")
     ends = seen.select("fid", F.explode(F.array("src_host", "dst_host")).alias("h")).where(F.col("h").isNotNull())
     of_flow = ends.where(F.col("fid").isNotNull()).distinct()
     lead = materialize(of_flow.groupBy("fid").agg(F.min("h").alias("flow_host")), "flow-lead")
