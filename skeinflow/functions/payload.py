@@ -233,3 +233,15 @@ def payload_vectors(df: DataFrame, key: str, payload: str) -> DataFrame:
             yield pd.DataFrame({key: b[key], "vector": out})
 
     return rows.mapInPandas(run, f"`{key}` {kinds[key]}, vector array<float>")
+
+
+def from_aliases(df: DataFrame, binary: tuple[str, ...] = (), hexadecimal: tuple[str, ...] = (), text: tuple[str, ...] = ()) -> Column:
+    """The first payload found under several names: bytes, hexadecimal text (an odd last digit is cut off), plain text. Missing columns are skipped."""
+    there = set(df.columns)
+    tries = [F.col(c).cast("binary") for c in binary if c in there]
+    for c in hexadecimal:
+        if c in there:
+            even = F.substring(F.col(c), F.lit(1), F.length(c) - F.length(c) % 2)
+            tries.append(F.when(F.col(c).rlike(r"^[0-9A-Fa-f]+$"), F.unhex(even)))
+    tries += [F.encode(F.col(c), "UTF-8") for c in text if c in there]
+    return F.coalesce(*tries, F.lit(None).cast("binary"))

@@ -138,3 +138,36 @@ def calibrate_bias(df: DataFrame, truth: str, scores_col: str, n_classes: int, r
                 bias[c] = max(grid, key=lambda b: (round(result[b], 12), -abs(b)))
         width *= shrink
     return bias
+
+
+def bootstrap_mean(df: DataFrame, by: str, value: str, reps: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """by, mean, low, high: a group's mean with a bootstrap interval.
+
+    Each batch draws Poisson weights for its rows and keeps, per group, one weighted sum and count a repetition;
+    those are added up, so the data is read once and reps rows per group and task are shuffled.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+
+    def draw(batches):
+        part = None
+        for n, b in enumerate(batches):
+            if part is None:
+                from pyspark import TaskContext
+
+                part = TaskContext.get().partitionId()
+            rng = np.random.default_rng([seed, part, n])
+            for g, rows in b.groupby(by, dropna=False, sort=True):
+                x = rows[value].to_numpy(dtype=np.float64)
+                x = x[~np.isnan(x)]
+                w = np.vstack([np.ones(len(x)), rng.poisson(1.0, (reps, len(x)))])
+                yield pd.DataFrame({by: pd.Series([None if pd.isna(g) else g] * (reps + 1), dtype="object"), "rep": np.arange(reps + 1), "s": w @ x, "w": w.sum(axis=1)})
+
+    sums = df.select(by, F.col(value).cast("double").alias(value)).mapInPandas(draw, f"`{by}` {kinds[by]}, rep int, s double, w double")
+    per = sums.groupBy(by, "rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    tail = (1 - level) / 2
+    point = F.max(F.when(F.col("rep") == 0, F.col("m")))
+    low, high = (F.percentile(F.when(F.col("rep") > 0, F.col("m")), F.lit(q)) for q in (tail, 1 - tail))
+    return per.groupBy(by).agg(point.alias("mean"), F.least(low, point).alias("low"), F.greatest(high, point).alias("high"))
