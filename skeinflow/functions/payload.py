@@ -25,10 +25,10 @@ def latin(payload: Column | str) -> Column:
     return F.decode(F.col(payload) if isinstance(payload, str) else payload, "ISO-8859-1")
 
 
-def _grams(payload: str, size: int, stride: int, prefix: str) -> Column:
+def _grams(payload: Column, size: int, stride: int, prefix: str) -> Column:
     n = F.length(payload)
     places = F.sequence(F.lit(0), F.floor((n - size) / stride).cast("int"))
-    grams = F.transform(places, lambda i: F.concat(F.lit(prefix), F.lower(F.hex(F.substring(F.col(payload), i * stride + 1, F.lit(size))))))
+    grams = F.transform(places, lambda i: F.concat(F.lit(prefix), F.lower(F.hex(F.substring(payload, i * stride + 1, F.lit(size))))))
     return F.when(n >= size, grams).otherwise(F.array().cast("array<string>"))
 
 
@@ -47,10 +47,18 @@ def tokens(payload: str, cap: int | None = 200, kinds: tuple[str, ...] = ("b4",
     """
     pieces = F.filter(F.split(F.lower(latin(payload)), SPLIT), lambda s: F.length(s).between(2, 64))
     text = F.when(printable_ratio(payload) > 0.7, F.transform(pieces, lambda s: F.concat(F.lit("t:"), s)))
-    parts = {"b4": _grams(payload, 4, 1, "b4:"), "b8": _grams(payload, 8, 4, "b8:"), "t": F.coalesce(text, F.array().cast("array<string>"))}
+    whole = F.col(payload)
+    parts = {"b4": _grams(whole, 4, 1, "b4:"), "b8": _grams(whole, 8, 4, "b8:"), "t": F.coalesce(text, F.array().cast("array<string>"))}
     every = F.array_distinct(F.concat(*[parts[k] for k in kinds]))
     every = F.coalesce(every, F.array().cast("array<string>"))
-    return F.slice(every, 1, cap) if cap is not None else every
+    if cap is None:
+        return every
+    every = F.slice(every, 1, cap)
+    if kinds[0] != "b4":
+        return every
+    # Where the first bytes already bring ``cap`` distinct grams, the rest of the payload adds none.
+    first = F.array_distinct(_grams(F.substring(whole, 1, 2 * cap + 3), 4, 1, "b4:"))
+    return F.when(F.size(first) >= cap, F.slice(first, 1, cap)).otherwise(every)
 
 
 def byte_values(payload: str) -> Column:
@@ -62,7 +70,17 @@ def byte_values(payload: str) -> Column:
 
 def byte_counts(df: DataFrame, key: str, payload: str) -> DataFrame:
     """key, byte, n: how often each byte value occurs in each payload."""
-    return df.select(key, F.explode(byte_values(payload)).alias("byte")).groupBy(key, "byte").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            counts = np.stack([np.bincount(np.frombuffer(bytes(v or b""), dtype=np.uint8), minlength=256) for v in b[payload]])
+            row, byte = np.nonzero(counts)
+            yield pd.DataFrame({key: b[key].to_numpy()[row], "byte": byte, "n": counts[row, byte]})
+
+    rows = df.select(key, payload).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, byte int, n long")
+    return rows.groupBy(key, "byte").agg(F.sum("n").alias("n"))
 
 
 def byte_profile(counts: DataFrame, key: str) -> DataFrame:

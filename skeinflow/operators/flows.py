@@ -106,12 +106,13 @@ def fan_out(packets: DataFrame, window_s: float, suffix: str = "") -> DataFrame:
     )
 
 
-def flow_features(flowed: DataFrame, windows: Mapping[str, float] | None = None) -> DataFrame:
+def flow_features(flowed: DataFrame, windows: Mapping[str, float] | None = None, packets: DataFrame | None = None) -> DataFrame:
     """One row per flow with the 73 window features of ``FLOW_FEATURES`` (all double), label, endpoints and start.
 
-    Aggregations by flow - flows are bounded by the chunk size - after the
-    inter-arrival windows, whose partitioning they share; the two fan-out tables join
-    by source and window and are small next to the packets.
+    One aggregation by flow - flows are bounded by the chunk size - after the
+    inter-arrival windows, whose partitioning it shares; the two fan-out tables join
+    by source and window and are small next to the packets. They are counted over
+    ``packets`` (the input of ``assign_flows``) if given, which spares them the segmentation.
     """
     order = W.partitionBy("flow_id").orderBy("ts", "seq")
     side = W.partitionBy("flow_id", "is_fwd").orderBy("ts", "seq")
@@ -119,7 +120,6 @@ def flow_features(flowed: DataFrame, windows: Mapping[str, float] | None = None)
     fwd, bwd = F.col("is_fwd"), ~F.col("is_fwd")
     flag = {f: F.sum(((F.col("flags").bitwiseAND(m) > 0) & (F.col("proto") == TCP)).cast("double")) for f, m in FLAG_BITS.items()}
     lead = ("label", "proto", "src_port", "dst_port", "src_ip", "dst_ip")
-    # Four narrower aggregations over the same partitioning: one as wide as all of them outgrows a compiled method.
     base = rows.groupBy("flow_id").agg(
         F.min(F.struct("ts", "seq", *lead)).alias("_first"),
         F.count(F.lit(1)).cast("double").alias("tot_pkts"),
@@ -128,14 +128,16 @@ def flow_features(flowed: DataFrame, windows: Mapping[str, float] | None = None)
         F.sum(F.when(fwd, F.col("ip_len")).otherwise(0).cast("double")).alias("fwd_bytes"),
         F.max("ts").alias("_end"),
         *[n.alias(f"n_{f}") for f, n in flag.items()],
-    )
-    sizes = rows.groupBy("flow_id").agg(*_stats("ip_len", "plen"), *_stats("payload_len", "plen_pay"))
-    sided = rows.groupBy("flow_id").agg(*_stats("ip_len", "plen_fwd", fwd), *_stats("ip_len", "plen_bwd", bwd))
-    gaps = rows.groupBy("flow_id").agg(
-        *_stats("_iat", "iat", total=False), *_stats("_iat_side", "iat_fwd", fwd, total=False), *_stats("_iat_side", "iat_bwd", bwd, total=False)
+        *_stats("ip_len", "plen"),
+        *_stats("ip_len", "plen_fwd", fwd),
+        *_stats("ip_len", "plen_bwd", bwd),
+        *_stats("payload_len", "plen_pay"),
+        *_stats("_iat", "iat", total=False),
+        *_stats("_iat_side", "iat_fwd", fwd, total=False),
+        *_stats("_iat_side", "iat_bwd", bwd, total=False),
     )
     base = base.select("*", F.col("_first.ts").alias("flow_start_ts"), *[F.col(f"_first.{x}").alias(x) for x in lead])
-    base = base.drop("_first").join(sizes, "flow_id").join(sided, "flow_id").join(gaps, "flow_id")
+    base = base.drop("_first")
     c = F.col
     base = base.withColumns({"bwd_pkts": c("tot_pkts") - c("fwd_pkts"), "bwd_bytes": c("tot_bytes") - c("fwd_bytes"), "dur": c("_end") - c("flow_start_ts")})
     per_s = {f"{n}_per_s": ratio(c(v), c("dur"), 1e-6) for n, v in (("bytes", "tot_bytes"), ("pkts", "tot_pkts"), ("fwd_pkts", "fwd_pkts"), ("bwd_pkts", "bwd_pkts"))}
@@ -148,7 +150,7 @@ def flow_features(flowed: DataFrame, windows: Mapping[str, float] | None = None)
         }
     )
     for suffix, seconds in (windows or {"": 60.0, "_5s": 5.0}).items():
-        fan = fan_out(flowed, seconds, suffix)
+        fan = fan_out(packets if packets is not None else flowed, seconds, suffix)
         names = [x for x in fan.columns if x not in ("src_ip", "bin")]
         base = base.withColumn("bin", F.floor(c("flow_start_ts") / seconds)).join(fan, ["src_ip", "bin"], "left").drop("bin")
         base = base.withColumns({x: F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in names})

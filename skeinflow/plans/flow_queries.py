@@ -15,7 +15,8 @@ def _flowed(spark: SparkSession, d: str, **kw) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return flows.flow_features(_flowed(spark, d))
+    p = views.packets(spark, d)
+    return flows.flow_features(flows.assign_flows(p), packets=p)
 
 
 def flow_ids_bidirectional(spark: SparkSession, d: str) -> DataFrame:
