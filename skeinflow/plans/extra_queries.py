@@ -9,7 +9,7 @@ from skeinflow.functions import canon
 from skeinflow.functions import payload as P
 from skeinflow.operators import metrics, reports
 from skeinflow.plans import sqlkit
-from skeinflow.plans.graph_queries import _CONS, eacs_soft_targets
+from skeinflow.plans.graph_queries import _CONS, soft_targets
 from skeinflow.plans.label_queries import _states
 from skeinflow.plans.text_queries import payloads
 from skeinflow.sources import knowledge, stores
@@ -31,9 +31,9 @@ def technique_rank(spark: SparkSession, d: str) -> DataFrame:
     return reports.technique_scores(n, "family", "w", "s", "c").select("family", "technique", F.round("score", 6).alias("score"))
 
 
-def eacs_stats(spark: SparkSession, d: str) -> DataFrame:
+def soft_target_stats(spark: SparkSession, d: str) -> DataFrame:
     """Per label: flows, flows whose target moves to benign (beta under 0.5), and mean beta."""
-    b = eacs_soft_targets(spark, d).join(_states(spark, d).select(F.col("state_id").alias("node"), "label"), "node")
+    b = soft_targets(spark, d).join(_states(spark, d).select(F.col("state_id").alias("node"), "label"), "node")
     return b.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("beta") < 0.5).cast("long")).alias("relabelled"), F.round(F.avg("beta"), 5).alias("mean_beta"))
 
 
@@ -80,7 +80,7 @@ def flow_payload_mean(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("flow").agg(Summarizer.mean(array_to_vector("vector")).alias("m")).select("flow", vector_to_array("m").alias("mean_vector"))
 
 
-QUERIES = {f.__name__: f for f in (latest_state, technique_rank, eacs_stats, technique_reference, citation_scores, payload_aliases, padded_payloads, mean_ci, flow_payload_mean)}
+QUERIES = {f.__name__: f for f in (latest_state, technique_rank, soft_target_stats, technique_reference, citation_scores, payload_aliases, padded_payloads, mean_ci, flow_payload_mean)}
 
 
 def _mm(c: str) -> str:
@@ -94,7 +94,7 @@ _ST = _CONS.split(", fl as (")[0]
 ORACLE = {
     "latest_state": f"select {sqlkit.flow_id('flow_id')} as fid, arg_max(state_id, (exported_at, state_id)) as state_id, arg_max(packet_count, (exported_at, state_id)) as packet_count from flow_state where {sqlkit.flow_id('flow_id')} is not null group by 1",
     "technique_rank": f"with {_ST}, n as (select t.family, t.technique_id as technique, count(*) as w, sum(packet_count)::bigint as s, count(distinct src_host) as c from st join traffic_class t on st.label = t.label where t.technique_id is not null group by 1, 2) select family, technique, round({_mm('w')} * 0.5::double + {_mm('s')} * 0.3::double + {_mm('c')} * 0.2::double, 6) as score from n window e as (partition by family)",
-    "eacs_stats": f"{_BETA} select label, count(*) as n, count(*) filter (where beta < 0.5) as relabelled, round(avg(beta), 5) as mean_beta from b group by 1",
+    "soft_target_stats": f"{_BETA} select label, count(*) as n, count(*) filter (where beta < 0.5) as relabelled, round(avg(beta), 5) as mean_beta from b group by 1",
     "technique_reference": f"with {_ST} select distinct coalesce(label, '(none)') as label from st where coalesce(label, '(none)') not in (select label from traffic_class)",
     "citation_scores": f"with {_ST}, x as (select doc_id, {sqlkit.flow_id('flow_id')} as flow, list_concat(regexp_extract_all(text, '\\b(flow_\\w+)', 1), regexp_extract_all(text, '\\b(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})\\b', 1)) as l from documents where text is not null), m as (select distinct doc_id, lower(e) as e from (select doc_id, unnest(l) as e from x)), en as (select fid as flow, min(src_host) as s, min(dst_host) as t from st where fid is not null group by 1), o as (select doc_id, x.flow as a, s as b, t as c from x left join en on x.flow = en.flow), ow as (select distinct doc_id, unnest([a, b, c]) as e from o), own as (select * from ow where e is not null), k as (select o.doc_id, (select count(*) from own where own.doc_id = o.doc_id) as n_own, (select count(*) from m where m.doc_id = o.doc_id) as n_cited, (select count(*) from m join own on m.doc_id = own.doc_id and m.e = own.e where m.doc_id = o.doc_id) as n_both from o) select doc_id, round(case when n_own = 0 then 1.0 else n_both / n_own end, 6) as coverage, round(case when n_cited = 0 then 0.0 else n_both / n_cited end, 6) as plausibility from k",
     "payload_aliases": "select doc_id, octet_length(encode(text)) as n_bytes, md5(text) as md5 from documents where text is not null",

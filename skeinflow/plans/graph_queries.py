@@ -119,7 +119,7 @@ def edge_softmax(spark: SparkSession, d: str) -> DataFrame:
     return out.select("src", "dst", F.round("attention", 6).alias("attention"))
 
 
-def sigc_filter(spark: SparkSession, d: str) -> DataFrame:
+def contribution_filter(spark: SparkSession, d: str) -> DataFrame:
     """Host edges kept by their contribution score, at least 0.02."""
     e = _links(spark, d)
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("o"))
@@ -140,7 +140,7 @@ def neighbor_consensus(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).withColumn("consensus", F.round("consensus", 6))
 
 
-def eacs_soft_targets(spark: SparkSession, d: str) -> DataFrame:
+def soft_targets(spark: SparkSession, d: str) -> DataFrame:
     """Evidence support, clean confidence, curriculum weight and the share that stays on the label."""
     tc = table(spark, d, "traffic_class").select("label", "class_id", "technique_id")
     rows = _states(spark, d).select(F.col("state_id").alias("node"), "label", "packet_count").join(tc, "label")
@@ -242,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         host_ids, label_ids, control_packets, host_tier, flow_host_edges, next_packet, burst_neighbor, parent_edges, tier_edges, reverse_edges, edge_except, fanout_capped, khop_2,
-        khop_capped, out_neighbors, local_id_map, edge_softmax, sigc_filter, neighbor_consensus, eacs_soft_targets, ema_series, graph_audit, graph_inventory, cosine_topk, knn_purity,
+        khop_capped, out_neighbors, local_id_map, edge_softmax, contribution_filter, neighbor_consensus, soft_targets, ema_series, graph_audit, graph_inventory, cosine_topk, knn_purity,
         centroid_cosine, vector_norms, rolling_pair, rolling_destination, length_sequence, packet_rank,
     )
 }
@@ -300,9 +300,9 @@ ORACLE = {
     "out_neighbors": f"with {_LK}, {_SEEDS} select src, dst, n, 'often' as rel from lk where n > 1 and src in (select node from sd)",
     "local_id_map": f"with {_FS}, m as (select src_host, min(state_id) as o from st where src_host is not null group by 1) select src_host, row_number() over (order by o, src_host) - 1 as local from m",
     "edge_softmax": f"with {_LK}, m as (select *, max(ln(1 + n)) over (partition by dst) as m from lk), e as (select *, exp(ln(1 + n) - m) as e from m) select src, dst, round(e / sum(e) over (partition by dst), 6) as attention from e",
-    "sigc_filter": f"with {_LK}, s as (select src, dst, ln(1 + n) / 10.0::double * least(1.0, (count(*) over (partition by src) + 1)::double / (count(*) over (partition by dst) + 1)) * exp(-0.5::double) as score from lk) select src, dst, round(score, 6) as score from s where score >= 0.02",
+    "contribution_filter": f"with {_LK}, s as (select src, dst, ln(1 + n) / 10.0::double * least(1.0, (count(*) over (partition by src) + 1)::double / (count(*) over (partition by dst) + 1)) * exp(-0.5::double) as score from lk) select src, dst, round(score, 6) as score from s where score >= 0.02",
     "neighbor_consensus": f"with {_CONS} select * from con",
-    "eacs_soft_targets": f"""with {_CONS}, r as (select st.state_id as node, t.class_id, case when t.class_id not in (7, 8, 9, 10) then 1.0 when st.packet_count - 4 > 0 then 1.0 else 0.0 end::double as support, con.consensus,
+    "soft_targets": f"""with {_CONS}, r as (select st.state_id as node, t.class_id, case when t.class_id not in (7, 8, 9, 10) then 1.0 when st.packet_count - 4 > 0 then 1.0 else 0.0 end::double as support, con.consensus,
         (st.state_id * (t.class_id + 1) % 17) / 17.0::double as po, (st.state_id % 17) / 17.0::double as pb from st join traffic_class t on st.label = t.label join con on con.node = st.state_id),
         c as (select *, pow(support, 0.5) * pow(consensus, 0.5) as confidence from r)
         select node, support, round(confidence, 6) as confidence, round(greatest(0.2, least(1.0, confidence)), 6) as weight,

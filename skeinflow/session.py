@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
     is made and set as the checkpoint directory of the session.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="skeinflow-")
         sc.setCheckpointDir(named)
     return named
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of the session, once, so that they need no path of their own to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_skeinflow_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    where = os.path.join(tempfile.mkdtemp(prefix="skeinflow-"), "skeinflow.zip")
+    with zipfile.ZipFile(where, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(where)  # the driver serves it to the executors
+    sc._skeinflow_shipped = True
+
+
+_made: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage: write ``df`` as parquet to the shared folder and read it back.
 
@@ -55,6 +74,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skeinflow_path = path
     return out
@@ -64,6 +84,19 @@ def discard(df: DataFrame | None) -> None:
     """Remove the files behind a DataFrame of :func:`materialize` that no plan needs any more."""
     path = getattr(df, "_skeinflow_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove everything ``materialize`` still holds; call it when no result of this session is needed any more."""
+    held = list(_made)
+    for path in held:
+        _delete(spark, path)
+    return len(held)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
