@@ -62,13 +62,16 @@ def heavy_keys(totals: DataFrame, all_rows: int, share_percent: int = 4) -> Data
     return totals.where(hit).select("key_field", "key_value")
 
 
-def salted_lookup(big: DataFrame, dim: DataFrame, key: str, salts: int = 8, how: str = "left") -> DataFrame:
+def salted_lookup(big: DataFrame, dim: DataFrame, key: str, salts: int = 8, how: str = "left", broadcast_rows: int = 50_000) -> DataFrame:
     """Join a table with hot keys to one with at most one row per key.
 
-    The lookup side is repeated once per salt and the big side takes a salt from
-    all its columns, so a hot key is spread over ``salts`` tasks. Null keys match nothing.
+    The lookup side is counted first (pass a materialised one). Up to ``broadcast_rows``
+    rows it is sent to every executor and no row of the big side moves. Beyond, it is repeated once per salt,
+    the big side takes a salt from all its columns, and both are shuffled, never
+    broadcast: a hot key is spread over ``salts`` tasks. Null keys match nothing.
     """
-    others = [c for c in big.columns]
-    a = big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
+    if dim.count() <= broadcast_rows:
+        return big.join(F.broadcast(dim), key, how)
+    a = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     b = dim.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    return a.hint("merge").join(b, [key, "_salt"], how).drop("_salt")

@@ -152,8 +152,9 @@ def test_heavy_keys_and_empty_tables(spark):
 def test_salted_lookup_keeps_all_rows(spark):
     big = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 1), ("z", 2)], "k string, v int")
     dim = spark.createDataFrame([("a", "A"), (None, "N")], "k string, name string")
-    got = skew.salted_lookup(big, dim, "k")
-    assert got.count() == 52 and got.where("name = 'A'").count() == 50 and got.where("name is null").count() == 2
+    for limit in (0, 50_000):
+        got = skew.salted_lookup(big, dim, "k", broadcast_rows=limit)
+        assert got.count() == 52 and got.where("name = 'A'").count() == 50 and got.where("name is null").count() == 2
 
 
 def test_all_null_rows_do_not_crash(spark, tmp_path):
