@@ -20,19 +20,19 @@ def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     groups = materialize(record_groups(flow_states(table(spark, d, "flow_state"))), "record-groups")
     labels = [r[0] for r in table(spark, d, "traffic_class").select(F.lower(F.trim("label"))).distinct().orderBy(F.lit(1)).collect() if r[0]]
     splits = [(r["split_name"], r["proportion"]) for r in table(spark, d, "split_plan").collect() if r["split_name"] and r["proportion"] is not None]
-    return groups, assign_splits(groups, sorted(labels), splits)
+    return groups, materialize(assign_splits(groups, sorted(labels), splits).select("group_key", "split_name"), "group-splits")
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     groups, splits = _assigned(spark, d)
-    return salted_lookup(groups, splits.select("group_key", "split_name"), "group_key").select("state_id", "group_key", "split_name")
+    return salted_lookup(groups, splits, "group_key").select("state_id", "group_key", "split_name")
 
 
 def p1_balance(spark: SparkSession, d: str) -> DataFrame:
     """Records per split and label, with the split's share of all records."""
     groups, splits = _assigned(spark, d)
     per_group = groups.groupBy("group_key", "label").agg(F.count(F.lit(1)).alias("n"))
-    out = per_group.join(splits.select("group_key", "split_name"), "group_key").groupBy("split_name", "label").agg(F.sum("n").alias("n_records"))
+    out = per_group.join(splits, "group_key").groupBy("split_name", "label").agg(F.sum("n").alias("n_records"))
     return out
 
 
