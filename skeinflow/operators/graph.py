@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,10 +132,11 @@ def k_hop(seeds: DataFrame, edges: DataFrame, hops: int, fan_out: int | None = N
     return seen
 
 
-def local_ids(ids: DataFrame, col: str, order: str) -> DataFrame:
-    """``col`` and ``local``: ids from 0 by first occurrence along ``order``; meant for one sampled subgraph."""
+def local_ids(ids: DataFrame, col: str, order: str, width: int = 100_000) -> DataFrame:
+    """``col`` and ``local``: ids from 0 by first occurrence along the numeric ``order``, ranked in buckets of ``width``."""
     first = ids.groupBy(col).agg(F.min(order).alias("_o"))
-    return first.select(col, (F.row_number().over(W.orderBy("_o", col)) - 1).alias("local"))
+    ranked = distributed_rank(first, [], ["_o", col], F.floor(F.col("_o") / width))
+    return ranked.select(col, (F.col("rank") - 1).cast("long").alias("local"))
 
 
 def out_neighbours(edges: DataFrame, rel: str, sources: DataFrame) -> DataFrame:
@@ -196,18 +198,31 @@ def soft_target(suspect: Column, p_own: Column, p_benign: Column, consensus: Col
 
 
 def exponential_mean(series: DataFrame, key: str, order: str, value: str, decay: float = 0.9) -> DataFrame:
-    """key, order, ema: e_0 = x_0, e_t = decay e_(t-1) + (1 - decay) x_t, one short series per key."""
-    xs = F.array_sort(F.collect_list(F.struct(order, value)))
-    start = F.array().cast(f"array<struct<o:{dict(series.dtypes)[order]},e:double>>")
-    step = F.aggregate(
-        "_xs",
-        start,
-        lambda a, x: F.concat(
-            a,
-            F.array(F.struct(x[order].alias("o"), F.when(F.size(a) == 0, x[value].cast("double")).otherwise(F.element_at(a, -1)["e"] * decay + x[value] * (1 - decay)).alias("e"))),
-        ),
-    )
-    return series.groupBy(key).agg(xs.alias("_xs")).select(key, F.explode(step).alias("s")).select(key, F.col("s.o").alias(order), F.col("s.e").alias("ema"))
+    """key, order, ema: e_0 = x_0, e_t = decay e_(t-1) + (1 - decay) x_t.
+
+    Series are streamed in order, and only the last mean of a key is carried from one
+    Arrow batch to the next, so a series of any length takes constant memory. Null values repeat the mean.
+    """
+    kinds = dict(series.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            carried = last is not None and b[key].iloc[0] == last_key
+            x = b[value].astype("float64")
+            keys = b[key]
+            if carried:
+                x = pd.concat([pd.Series([last]), x], ignore_index=True)
+                keys = pd.concat([pd.Series([last_key]), keys], ignore_index=True)
+            mean = x.reset_index(drop=True).groupby(keys.to_numpy(), sort=False, dropna=False).transform(lambda g: g.ewm(alpha=1 - decay, adjust=False, ignore_na=True).mean())
+            mean = mean.to_numpy()[1 if carried else 0 :]
+            last_key, last = b[key].iloc[-1], float(mean[-1])
+            yield pd.DataFrame({key: b[key].to_numpy(), order: b[order].to_numpy(), "ema": mean})
+
+    ordered = series.select(key, order, F.col(value).cast("double").alias(value)).repartition(key).sortWithinPartitions(key, order)
+    return ordered.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, ema double")
 
 
 def audit(checks: Sequence[tuple[str, str, DataFrame, Column]]) -> DataFrame:
