@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import canon
 from skeinflow.operators import metrics, splits
-from skeinflow.operators.ranking import hash_bucket, hash_order
 from skeinflow.sources.tables import table
 
 LABELS_SQL = "ctx as (select context_id, coalesce(nullif(lower(trim(label)), ''), 'unknown') as label, captured_at, duration_seconds, packet_count, total_payload_bytes from flow_context)"
