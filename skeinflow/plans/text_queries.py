@@ -246,6 +246,7 @@ ORACLE = {
     "printable_ratio": f"with {_HX}, {_BY}, {_LAT} select hx.doc_id, round(p::double / lat.n, 6) as ratio from hx left join lat on hx.doc_id = lat.doc_id",
     "byte_histogram": f"with {_HX}, {_BY} select doc_id, cast(b as integer) as byte, count(*) as n from byt group by 1, 2",
     "byte_entropy": f"with {_HX}, {_BY}, c as (select doc_id, b, count(*) / max(n)::double as p from byt group by 1, 2) select doc_id, round(-sum(p * log2(p + 1e-12)), 6) as entropy, round(sum(case when b between 32 and 126 then p else 0 end), 6) as printable, round(sum(case when b = 0 then p else 0 end), 6) as zeros from c group by 1",
+    "hash_ngram": f"with {_HX}, {_B4}, g as (select b4.doc_id, cast(('0x' || substr(md5(unhex(substr(token, 4))), 1, 8)) as bigint) % 2048 as bucket, hx.n - 3 as w from b4 join hx on b4.doc_id = hx.doc_id), s as (select doc_id, bucket, count(*)::double / max(w) as share from g group by 1, 2) select cast(bucket as integer) as bucket, count(*) as n_docs, round(sum(share), 6) as share from s group by 1",
     "ordered_bytes": f"with {_HX}, {_BY} select hx.doc_id, 256 as size, round(coalesce(sum(byt.b / 255.0::double) filter (where byt.i < 256), 0.0), 6) as total, round(coalesce(max(byt.b / 255.0::double) filter (where byt.i = 0), 0.0), 6) as first from hx left join byt on hx.doc_id = byt.doc_id group by hx.doc_id",
     "payload_preview": f"with {_HX}, {_BY}, g as (select doc_id, string_agg(chr((case when b between 32 and 126 then b else 46 end)::integer), '' order by i) as a from byt where i < 16 group by 1) select hx.doc_id, substr(h, 1, 32) as hex, coalesce(a, '') as ascii from hx left join g on hx.doc_id = g.doc_id",
     "http_structure": f"""{_HTTP}, b as (select z.doc_id, z.s, n, m, 'POST /case?id=' || z.doc_id || '&lang=x HTTP/1.1' as l1 from z join r3 on z.doc_id = r3.doc_id)
