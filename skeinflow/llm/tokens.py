@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ TOKENIZERS = os.environ.get("SKEINFLOW_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts longer than this are cut at safe places before the pattern sees them.
 LONG = 100_000
+#: Texts whose ids are held at once.
+PIECE = 500
 
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
 _PIECE = regex.compile(PATTERN)
@@ -75,10 +78,12 @@ def encode(text: str | None, enc, long: int = LONG) -> list[int]:
 def _mapper(columns: list[str], text: str, path: str, make: Callable, schema_col: str):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path)
-        for b in batches:
-            out = b[columns].copy()
-            out[schema_col] = [make(t, enc) for t in b[text]]
-            yield out
+        for batch in batches:
+            for start in range(0, len(batch), PIECE):  # ids of a whole Arrow batch of long texts would be held at once
+                b = batch.iloc[start : start + PIECE]
+                out = b[columns].copy()
+                out[schema_col] = [make(t, enc) for t in b[text]]
+                yield out
 
     return run
 
@@ -95,7 +100,7 @@ def encode_corpus(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     each input split is encoded where it is read.
     """
     cols = list(keep)
-    run = _mapper(cols, text, os.path.join(folder, vocabulary), encode, "ids")
+    run = _mapper(cols, text, os.path.join(folder, vocabulary), lambda t, enc: np.array(encode(t, enc), dtype=np.int32), "ids")
     return docs.select(*dict.fromkeys([*cols, text])).mapInPandas(run, _typed(docs, cols, "ids array<int>"))
 
 
