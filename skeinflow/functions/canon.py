@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Blanks to strip, and the written forms of an IPv4 address.
 BLANKS = r"[\s\x{00a0}\x{200b}\x{feff}]+"
 DOTTED = r"^\[?(?:(?:::|(?:0{1,4}:){5})ffff:)?(\d+\.\d+\.\d+\.\d+)\]?(?::\d{1,5})?(?:/\d{1,3})?$"
+PLAIN = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\z"
 OCTETS = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
 MAPPED_HEX = r"^\[?(?:::|(?:0{1,4}:){5})ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})\]?(?:/\d{1,3})?$"
 INTEGER = r"^\d{7,10}$"
@@ -37,11 +38,13 @@ def host(c: Column | str) -> Column:
     hexadecimal tail, and plain integers. Everything else - null, empty, "-",
     "N/A", "unknown", octets above 255 - is no host.
     """
-    s = F.lower(F.regexp_replace(_col(c), BLANKS, ""))
+    raw = _col(c)
+    s = F.lower(F.regexp_replace(raw, BLANKS, ""))
     dotted = F.regexp_replace(F.regexp_extract(s, DOTTED, 1), r"(^|\.)0+([0-9])", "$1$2")
     digits = F.concat(*[F.lpad(F.regexp_extract(s, MAPPED_HEX, i), 4, "0") for i in (1, 2)])
     number = F.when(s.rlike(MAPPED_HEX), F.conv(digits, 16, 10)).when(s.rlike(INTEGER), s).cast("long")
-    return F.when(dotted.rlike(OCTETS), dotted).when(number <= 4294967295, _quad(number))
+    # Most addresses are canonical already: one match settles them.
+    return F.when(raw.rlike(PLAIN), raw).when(dotted.rlike(OCTETS), dotted).when(number <= 4294967295, _quad(number))
 
 
 def flow_id(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ def one(spark, value, kind, expr):
 
 
 HOSTS = {
-    "10.0.0.7": "10.0.0.7", "010.000.000.007": "10.0.0.7", " 10.0.3.40 \t": "10.0.3.40", "[10.0.0.7]": "10.0.0.7", "10.0.0.7:1941": "10.0.0.7", "10.0.0.7/32": "10.0.0.7",
+    "10.0.0.7": "10.0.0.7", "10.0.0.7\n": "10.0.0.7", "010.000.000.007": "10.0.0.7", " 10.0.3.40 \t": "10.0.3.40", "[10.0.0.7]": "10.0.0.7", "10.0.0.7:1941": "10.0.0.7", "10.0.0.7/32": "10.0.0.7",
     "[10.0.0.7]:80": "10.0.0.7", "::ffff:10.1.0.85": "10.1.0.85", "::FFFF:10.1.0.85": "10.1.0.85", "::ffff:0a01:005a": "10.1.0.90", "::ffff:a01:5": "10.1.0.5",
     "0:0:0:0:0:ffff:10.1.0.5": "10.1.0.5", "167772167": "10.0.0.7", "4294967295": "255.255.255.255", "0.0.0.0": "0.0.0.0", "255.255.255.255": "255.255.255.255",
     "": None, "-": None, "N/A": None, "unknown": None, "10.0.0": None, "10.0.0.256": None, "4294967296": None, "10.0.0.7.8": None, "host": None, "::1": None, None: None,
