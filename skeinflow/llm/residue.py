@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("placeholder", "filler", "error", "script_notice")
 
-#: Section marks of graph texts and tokenizer marks, which look like bracketed placeholders.
-SECTION_MARKS = ("FLOW", "EDGE", "PACKET", "HEX", "TOKENS", "NOTE", "HOST", "TECHNIQUE", "TACTIC", "EVIDENCE", "LABEL", "END", "PAD", "UNK")
+#: Section marks that open lines of graph texts, and tokenizer marks, which stand anywhere. Both look like bracketed placeholders.
+SECTION_MARKS = ("FLOW", "EDGE", "PACKET", "HEX", "TOKENS", "NOTE")
+TOKENIZER_MARKS = ("PAD", "UNK")
 
 _NAME = r"[^\W\d_]\w*(?:[ ._-]\w+){0,4}"
 _CAPS = r"[A-Z][A-Z0-9]*(?:[_.][A-Z0-9]+){0,4}"
@@ -177,6 +178,8 @@ def _sentences(text: str) -> Iterator[tuple[int, str]]:
         yield at, text[at:]
 
 
+#: Nothing, or a short stray run that touches the mark: a line that a section mark opens, though noise got in before it.
+_STRAY = re.compile(r"(?:[^\[\]]{0,23}(?:\w|[^\x00-\x7f]))?")
 _MAYBE = re.compile(r"[{<@$\[]|%[(\w]|__|TODO|TBD|FIXME|OFFEN|BỔ SUNG")
 
 
@@ -187,7 +190,7 @@ def _placeholder(text: str) -> bool:
         line = text.rfind("\n", 0, m.start()) + 1
         if m.lastgroup == "square_caps":
             mark = m.group()[1:-1]
-            if mark in SECTION_MARKS or (m.start() == line and "_" not in mark and text[m.end() : m.end() + 1] == " "):
+            if mark in TOKENIZER_MARKS or (mark in SECTION_MARKS and _STRAY.fullmatch(text, line, m.start())):
                 continue
         end = text.find("\n", m.end())
         around = text[line : end if end >= 0 else len(text)]

@@ -130,6 +130,17 @@ def test_residue_kinds(kind):
         assert classify(text) == kind, text
 
 
+@pytest.mark.parametrize("mark", ["TECHNIQUE", "LABEL", "TACTIC", "EVIDENCE", "HOST", "END", "SITE"])
+def test_residue_bracketed_fields(mark):
+    for text in (f"Technique [{mark}] is the best match.", f"Confidence: [{mark}]", f"[{mark}] opened 3 flows.", f"[FLOW] flow_1 src=10.0.0.1\n[NOTE] Matches [{mark}] best."):
+        assert classify(text) == "placeholder", text
+
+
+def test_residue_section_marks_open_lines():
+    assert classify("[FLOW] flow_1 src=10.0.0.1\n流量異常[EDGE] packet#0 -> TX1\n 3.14e+10[HEX] 00ff\ndon't we'll IT'S[TOKENS] t:wget\n[PAD][UNK][NOTE] ok") is None
+    assert classify("The evidence on [FLOW] reaches weight 0.9.") == "placeholder" and classify("Note: [NOTE]") == "placeholder"
+
+
 def test_residue_in_long_text_and_marks():
     body = "The graph around the flow holds 3 packets, 4 hosts and 5 technique edges. " * 800
     assert classify(body) is None and classify(body + "Host ${src_host} came back.") == "placeholder"
