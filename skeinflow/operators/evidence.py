@@ -183,16 +183,25 @@ def coverage(packets: DataFrame, edges: DataFrame, key: str, label: str, familie
     return out.withColumn("dominant", F.when(best > 0, F.coalesce(*[F.when(F.col(f) == best, F.lit(f)) for f in families])))
 
 
-def l1_logistic(rows: DataFrame, tokens: str, label: str, c: float = 0.1, iterations: int = 50, vocabulary: int = 20000) -> DataFrame:
-    """token, label, coef of an L1-penalised multinomial regression on token presence (zero coefficients are left out)."""
+def l1_logistic(rows: DataFrame, tokens: str, label: str, c: float = 0.1, iterations: int = 200, vocabulary: DataFrame | None = None) -> DataFrame:
+    """token, label, coef of an L1-penalised multinomial regression on token presence (zero coefficients are left out).
+
+    ``vocabulary`` (column token) names the tokens fitted on, all of them; without it that is every token of ``rows``.
+    It is the model's size, so it goes to the driver.
+    """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer, StringIndexer
+    from pyspark.ml.feature import CountVectorizerModel, StringIndexer
 
     n = rows.count()
-    words = CountVectorizer(inputCol=tokens, outputCol="_x", binary=True, vocabSize=vocabulary).fit(rows)
+    if vocabulary is None:
+        vocabulary = rows.select(F.explode(tokens).alias("token"))
+    fitted = sorted(r["token"] for r in vocabulary.select("token").where("token is not null").distinct().collect())
+    if not n or not fitted:
+        return rows.sparkSession.createDataFrame([], "token string, label string, coef double")
+    words = CountVectorizerModel.from_vocabulary(fitted, inputCol=tokens, outputCol="_x").setBinary(True)
     names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     data = names.transform(words.transform(rows)).select("_x", "_y")
     model = LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", elasticNetParam=1.0, regParam=1.0 / (c * max(n, 1)), maxIter=iterations, standardization=False).fit(data)
     m = model.coefficientMatrix.toArray()
-    entries = [(words.vocabulary[j], names.labels[i], float(m[i, j])) for i, j in zip(*m.nonzero(), strict=True)]
+    entries = [(fitted[j], names.labels[i], float(m[i, j])) for i, j in zip(*m.nonzero(), strict=True)]
     return rows.sparkSession.createDataFrame(entries, "token string, label string, coef double")

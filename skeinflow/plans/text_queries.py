@@ -9,6 +9,7 @@ from skeinflow.functions import canon
 from skeinflow.functions import payload as P
 from skeinflow.operators import evidence as E
 from skeinflow.plans import sqlkit
+from skeinflow.session import materialize
 from skeinflow.sources.tables import table
 
 
@@ -186,7 +187,9 @@ def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def l1_logistic_pmi(spark: SparkSession, d: str) -> DataFrame:
-    return E.l1_logistic(text_tokens(spark, d).select("tokens", "label"), "tokens", "label", iterations=15, vocabulary=2000)
+    """Coefficients of every PMI candidate, whatever its frequency."""
+    rows = materialize(text_tokens(spark, d).select("tokens", "label"), "l1_rows")
+    return E.l1_logistic(rows, "tokens", "label", vocabulary=_candidates(spark, d))
 
 
 QUERIES = {

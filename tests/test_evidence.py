@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import payload as P
 from skeinflow.operators import evidence as E
+from skeinflow.plans import text_queries
 
 
 def payload_tokens(spark, raw, **kw):
@@ -96,3 +97,11 @@ def test_l1_logistic_separates(spark):
     rows = [(["t:a", "t:x"], "one")] * 60 + [(["t:b", "t:x"], "two")] * 60
     coefs = {(r["token"], r["label"]): r["coef"] for r in E.l1_logistic(spark.createDataFrame(rows, "tokens array<string>, label string"), "tokens", "label", c=1.0).collect()}
     assert coefs.get(("t:a", "one"), 0) > coefs.get(("t:a", "two"), 0)
+
+
+def test_l1_logistic_fits_every_candidate(spark, tmp_path):
+    common = " ".join(f"w{i:04d}" for i in range(2100))
+    rows = [(i, "note" if i % 2 else "report", None, common + (" rare" if i % 2 else " other")) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, kind string, flow_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["token"], r["label"]) for r in text_queries.l1_logistic_pmi(spark, str(tmp_path)).collect()}
+    assert {t for t, _ in got} == {"t:rare", "t:other"}
