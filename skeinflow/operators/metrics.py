@@ -78,7 +78,7 @@ def biased_argmax(values: Column, bias: Sequence[float]) -> Column:
     return argmax(F.zip_with(values, F.array(*[F.lit(float(b)) for b in bias]), lambda x, b: x + b))
 
 
-def bootstrap(df: DataFrame, truth: str, pred: str, classes: Sequence[int], reps: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+def bootstrap(df: DataFrame, truth: str, pred: str, classes: Sequence[int], reps: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Confidence interval of accuracy and macro-F1.
 
     Resampling happens on the cells of the confusion matrix: drawing n rows with
@@ -115,7 +115,7 @@ def bootstrap(df: DataFrame, truth: str, pred: str, classes: Sequence[int], reps
     return long.groupBy("metric").agg(point.alias("point"), F.least(low, point).alias("low"), F.greatest(high, point).alias("high"))
 
 
-def calibrate_bias(df: DataFrame, truth: str, scores_col: str, n_classes: int, rounds: int = 3, half_width: float = 2.0, points: int = 9, shrink: float = 0.6) -> list[float]:
+def calibrate_bias(df: DataFrame, truth: str, scores_col: str, n_classes: int, rounds: int = 12, half_width: float = 6.0, points: int = 25, shrink: float = 0.6) -> list[float]:
     """Per-class additive bias that raises macro-F1: coordinate ascent over a shrinking grid.
 
     For one class all candidate biases are scored in one distributed pass: with the
@@ -140,7 +140,7 @@ def calibrate_bias(df: DataFrame, truth: str, scores_col: str, n_classes: int, r
     return bias
 
 
-def bootstrap_mean(df: DataFrame, by: str, value: str, reps: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+def bootstrap_mean(df: DataFrame, by: str, value: str, reps: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """by, mean, low, high: a group's mean with a bootstrap interval.
 
     Each batch draws Poisson weights for its rows and keeps, per group, one weighted sum and count a repetition;

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -70,3 +71,16 @@ def test_fidelity(spark):
 def test_numbers_supported(spark):
     df = spark.createDataFrame([(0.88,), (88.0,), (0.9,)], "v double").select(reports.number_supported(F.col("v"), F.array(F.lit(0.88))).alias("ok"))
     assert [r["ok"] for r in df.collect()] == [True, True, False]
+
+
+def test_calibration_reaches_far_biases(spark):
+    rows = [(0, [5.9, 0.0])] * 40 + [(1, [4.6, 0.0])] * 40
+    df = spark.createDataFrame(rows, "y int, s array<double>")
+    bias = metrics.calibrate_bias(df.coalesce(1), "y", "s", 2)
+    wrong = df.where(metrics.biased_argmax(F.col("s"), bias) != F.col("y")).count()
+    assert wrong == 0 and bias[1] - bias[0] > 4.6
+
+
+def test_repetitions_of_the_reference():
+    for f in (metrics.bootstrap, metrics.bootstrap_mean):
+        assert inspect.signature(f).parameters["reps"].default == 1000
