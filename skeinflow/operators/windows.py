@@ -52,3 +52,20 @@ def length_sequence(df: DataFrame, key: str, order: Sequence[str], signed: Colum
     ranked = df.select(key, *order, signed.alias("_v")).withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= size)
     xs = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda s: s["_v"])
     return ranked.groupBy(key).agg(xs.alias("_x")).select(key, F.concat("_x", F.array_repeat(F.lit(0).cast("long"), F.lit(size) - F.size("_x"))).alias("sequence"))
+
+
+def burst_aggregates(df: DataFrame, key: str, order: Sequence[str], signed: Column) -> DataFrame:
+    """Per key over all its rows: counts, sums, mean, deviation and maximum of lengths by direction, and of the gaps in the first order column.
+
+    ``signed`` lengths above 0 are forward, below 0 backward; deviations are of the population, absent values give 0.
+    """
+    w = W.partitionBy(key).orderBy(*order)
+    rows = df.select(key, *order, signed.cast("double").alias("_v")).withColumn("_gap", (F.col(order[0]) - F.lag(order[0]).over(w)).cast("double"))
+    fwd, bwd = F.when(F.col("_v") > 0, F.col("_v")), F.when(F.col("_v") < 0, -F.col("_v"))
+    stats = {"mean": F.avg, "std": F.stddev_pop, "max": F.max}
+    out = [F.count(F.lit(1)).alias("n_packets")]
+    for name, v in (("fwd", fwd), ("bwd", bwd)):
+        out += [F.count(v).alias(f"{name}_count"), F.coalesce(F.sum(v), F.lit(0.0)).alias(f"{name}_sum")]
+    for name, v in (("fwd", fwd), ("bwd", bwd), ("gap", F.col("_gap"))):
+        out += [F.coalesce(f(v), F.lit(0.0)).alias(f"{name}_{s}") for s, f in stats.items()]
+    return rows.groupBy(key).agg(*out).withColumn("up_down", F.col("fwd_sum") / (F.col("bwd_sum") + 1.0))

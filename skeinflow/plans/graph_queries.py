@@ -225,6 +225,13 @@ def length_sequence(spark: SparkSession, d: str) -> DataFrame:
     return seq.select("flow_id", F.array_join("sequence", ",").alias("lengths"))
 
 
+def flow_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Per flow its first 32 signed lengths and the burst aggregates over all its packets."""
+    f = flows.assign_flows(views.packets(spark, d)).withColumn("signed", F.when(F.col("is_fwd"), F.col("ip_len")).otherwise(-F.col("ip_len")).cast("long"))
+    bursts = windows.burst_aggregates(f, "flow_id", ["ts", "seq"], F.col("signed"))
+    return windows.length_sequence(f, "flow_id", ["ts", "seq"], F.col("signed")).join(bursts, "flow_id")
+
+
 def packet_rank(spark: SparkSession, d: str) -> DataFrame:
     """Importance of packets in their flow: 0.4 size, 0.3 gap, 0.2 flag count, 0.1 position, each min-max scaled; five best per flow."""
     f = flows.assign_flows(views.packets(spark, d))
@@ -243,7 +250,7 @@ QUERIES = {
     for f in (
         host_ids, label_ids, control_packets, host_tier, flow_host_edges, next_packet, burst_neighbor, parent_edges, tier_edges, reverse_edges, edge_except, fanout_capped, khop_2,
         khop_capped, out_neighbors, local_id_map, edge_softmax, contribution_filter, neighbor_consensus, soft_targets, ema_series, graph_audit, graph_inventory, cosine_topk, knn_purity,
-        centroid_cosine, vector_norms, rolling_pair, rolling_destination, length_sequence, packet_rank,
+        centroid_cosine, vector_norms, rolling_pair, rolling_destination, length_sequence, flow_bursts, packet_rank,
     )
 }
 

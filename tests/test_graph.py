@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinflow.operators import graph, ranking, splits, vectors, windows
+from skeinflow.plans import graph_queries
 
 
 def brute_burst(rows, radius, limit):
@@ -122,3 +123,20 @@ def test_rolling_rows(spark, block):
         for n, (_, i, _) in enumerate(mine):
             last = [v for _, _, v in mine[max(0, n - 19) : n + 1]]
             assert got[i] == (sum(last), pytest.approx(sum(last) / len(last)), len(set(last)))
+
+
+def test_flow_bursts_hold_all_packets(spark):
+    df = spark.createDataFrame([("a", float(i), 100 if i % 2 == 0 else -(i + 1)) for i in range(40)] + [("b", 0.0, 7)], "k string, t double, v long")
+    seq = {r["k"]: r["sequence"] for r in windows.length_sequence(df, "k", ["t"], F.col("v")).collect()}
+    got = {r["k"]: r for r in windows.burst_aggregates(df, "k", ["t"], F.col("v")).collect()}
+    a, b = got["a"], got["b"]
+    assert len(seq["a"]) == 32 and seq["a"][31] == -32 and seq["b"] == [7] + [0] * 31
+    assert (a["n_packets"], a["fwd_count"], a["bwd_count"], a["fwd_sum"], a["bwd_sum"], a["bwd_max"]) == (40, 20, 20, 2000.0, 420.0, 40.0)
+    assert (a["fwd_std"], a["gap_mean"], a["gap_std"], a["gap_max"], a["bwd_mean"]) == (0.0, 1.0, 0.0, 1.0, 21.0) and abs(a["bwd_std"] - 133**0.5) < 1e-9 and a["up_down"] == 2000 / 421
+    assert (b["bwd_count"], b["bwd_mean"], b["bwd_std"], b["gap_mean"], b["fwd_std"]) == (0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_flow_bursts_query(spark):
+    small = "/root/testdata/sf0.001"
+    rows = graph_queries.flow_bursts(spark, small).collect()
+    assert rows and all(len(r["sequence"]) == 32 for r in rows) and sum(r["n_packets"] for r in rows) == graph_queries.flows.assign_flows(graph_queries.views.packets(spark, small)).count()
