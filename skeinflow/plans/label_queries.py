@@ -251,10 +251,15 @@ def edge_dropout(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst"), "n")
 
 
-def hot_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """How often sampling would touch each host: the 20 most linked ones."""
+def node_visits(spark: SparkSession, d: str) -> DataFrame:
+    """Links of every host, most linked first: the order in which a cache of any capacity is filled."""
     e = graph.both_ways(_links(spark, d))
-    return e.groupBy("src").agg(F.sum("n").alias("visits")).orderBy(F.desc("visits"), "src").limit(20)
+    return e.groupBy("src").agg(F.sum("n").alias("visits")).orderBy(F.desc("visits"), "src")
+
+
+def hot_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 most linked hosts."""
+    return node_visits(spark, d).limit(20)
 
 
 def label_alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +300,7 @@ QUERIES = {
     for f in (
         label_isolation, isolation_audit, answer_key, key_overlap, anchor_sweep, mask_audit, rare_classes, class_composition, top_ports, row_features, port_pair, parsed_lists,
         store_flow_stats, flow_technique_topk, literal_coverage, hits_per_connection, capture_fanout, flow_basic, text_endpoints, graph_text, report_verification, report_claims,
-        report_metrics, counterfactual_drop, pruned_links, evidence_bundles, packet_lists, template_report, loss_terms, edge_dropout, hot_nodes, label_alignment, attention_max,
+        report_metrics, counterfactual_drop, pruned_links, evidence_bundles, packet_lists, template_report, loss_terms, edge_dropout, node_visits, hot_nodes, label_alignment, attention_max,
         first_tactic, source_precedence, literal_extraction,
     )
 }

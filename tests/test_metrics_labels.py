@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinflow.operators import labels, metrics, reports
+from skeinflow.plans import label_queries
 
 
 def frame(spark, pairs):
@@ -84,3 +85,11 @@ def test_calibration_reaches_far_biases(spark):
 def test_repetitions_of_the_reference():
     for f in (metrics.bootstrap, metrics.bootstrap_mean):
         assert inspect.signature(f).parameters["reps"].default == 1000
+
+
+def test_node_visits_holds_every_host(spark):
+    small = "/root/testdata/sf0.001"
+    rows = [(r["src"], r["visits"]) for r in label_queries.node_visits(spark, small).collect()]
+    hosts = {h for r in label_queries._links(spark, small).select("src", "dst").collect() for h in r}
+    assert {h for h, _ in rows} == hosts and len(rows) == len(hosts) > 20
+    assert rows == sorted(rows, key=lambda r: (-r[1], r[0])) and rows[:20] == [(r["src"], r["visits"]) for r in label_queries.hot_nodes(spark, small).collect()]
