@@ -192,12 +192,17 @@ def l1_logistic_pmi(spark: SparkSession, d: str) -> DataFrame:
     return E.l1_logistic(rows, "tokens", "label", vocabulary=_candidates(spark, d))
 
 
+def l1_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates, L1 fit, projection to techniques and family filter in one chain."""
+    return E.family_specific(E.project_to_techniques(l1_logistic_pmi(spark, d), class_map(spark, d)), 0.9)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokens_capped, token_b4, token_b8, token_text, printable_ratio, byte_histogram, byte_entropy, hash_ngram, ordered_bytes, http_structure, payload_vector, payload_preview,
         payload_signatures, pmi_counts, pmi_candidates, pmi_topk, pmi_projection, family_filter, literal_hits, literal_weights, evidence_vote, evidence_edges, evidence_summary,
-        evidence_by_flow_family, evidence_coverage, l1_logistic_pmi,
+        evidence_by_flow_family, evidence_coverage, l1_logistic_pmi, l1_projection,
     )
 }
 

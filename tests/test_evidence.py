@@ -105,3 +105,12 @@ def test_l1_logistic_fits_every_candidate(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, kind string, flow_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["token"], r["label"]) for r in text_queries.l1_logistic_pmi(spark, str(tmp_path)).collect()}
     assert {t for t, _ in got} == {"t:rare", "t:other"}
+
+
+def test_l1_projection_uses_the_fit(spark, monkeypatch):
+    fit = spark.createDataFrame([("t:a", "card", 0.5), ("t:a", "note", -0.001)], "token string, label string, coef double")
+    monkeypatch.setattr(text_queries, "l1_logistic_pmi", lambda spark, d: fit)
+    mapped = text_queries.class_map(spark, "/root/testdata/sf0.001").where("label = 'card'").collect()
+    got = {(r["token"], r["technique"]): r["weight"] for r in text_queries.l1_projection(spark, "/root/testdata/sf0.001").collect()}
+    weights = {r["technique"]: 0.5 * r["map_weight"] for r in mapped}
+    assert got and all(t == "t:a" and w == pytest.approx(weights[k]) for (t, k), w in got.items())
