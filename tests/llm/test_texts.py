@@ -4,6 +4,7 @@ import pytest
 
 from skeinflow.llm import containers, tokens
 from skeinflow.llm.residue import classify, find_residue, normalise, without_residue
+from tests.llm import foreign_texts
 
 PATH = f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken"
 HARD = ["", " ", "\n\n  x", "it's we'll", "<|endoftext|>", "Đồ thị quanh luồng", "👨‍💻 𝕏𝕐 مراقبة 流量異常", "a" * 50, "12345 67", "\x00\x01", "tab\tnew\r\nline  end ", "�"]
@@ -136,6 +137,20 @@ def test_residue_bracketed_fields(mark):
         assert classify(text) == "placeholder", text
 
 
+@pytest.mark.parametrize("texts", [foreign_texts.DEV, foreign_texts.HELD_OUT], ids=["dev", "held_out"])
+def test_residue_in_texts_from_elsewhere(texts):
+    found = [(kind is not None, classify(text) is not None) for kind, text in texts]
+    true = sum(kind and hit for kind, hit in found)
+    assert true / sum(kind for kind, _ in found) > 0.9 and true / sum(hit for _, hit in found) > 0.9
+    assert len(foreign_texts.HELD_OUT) >= 200 and not {t for _, t in foreign_texts.DEV} & {t for _, t in foreign_texts.HELD_OUT}
+
+
+def test_residue_density_and_code():
+    tutorial = "A template engine expands each tag. The syntax is short: the variable name stands in braces, so write {{ name }} or {{ city }} where the value goes."
+    assert classify(tutorial) is None and classify("Name: {{ name }}\nCity: {{ city }}") == "placeholder"
+    assert classify("~~~\nName: {{ name }}\n~~~\nThe fields above are set in code.") is None and classify("<pre>Name: ${name}</pre> is code.") is None
+
+
 def test_residue_section_marks_open_lines():
     assert classify("[FLOW] flow_1 src=10.0.0.1\n流量異常[EDGE] packet#0 -> TX1\n 3.14e+10[HEX] 00ff\ndon't we'll IT'S[TOKENS] t:wget\n[PAD][UNK][NOTE] ok") is None
     assert classify("The evidence on [FLOW] reaches weight 0.9.") == "placeholder" and classify("Note: [NOTE]") == "placeholder"
