@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from skeinflow.llm.vector_overlap import Winnower, node_pairs, overlap_report, split_overlaps
+from skeinflow.llm.vector_overlap import CellBits, Winnower, node_pairs, overlap_report, record_coverage, split_overlaps, spread_join
 
 NODES = "node_id long, source string, split string, flow_y int, node_features array<float>"
 
@@ -12,7 +13,7 @@ def brute(rows, most=3, tol=0.01):
     def clean(v):
         return [0.0 if x is None or math.isnan(x) else float(np.float32(x)) for x in v]
 
-    used = [(i, s.strip().lower(), clean(v)) for i, _, s, _, v in rows if s is not None and v is not None and len(v) > most]
+    used = [(i, s.strip().lower(), clean(v)) for i, _, s, _, v in rows if s is not None and v is not None]
     out = set()
     for i, s, a in used:
         for j, t, b in used:
@@ -97,15 +98,38 @@ def test_kept_grams_cover_every_window():
         assert places[0] < w.window and max(np.diff(places), default=0) <= w.window
 
 
-def test_near_cells_are_asked_for():
+def test_minima_of_agreeing_vectors_are_selected():
     w = Winnower(74)
     rng = np.random.default_rng(2)
-    x = rng.lognormal(0, 2, (50, 74))
+    x = np.where(rng.random((300, 74)) < 0.3, 0.0, rng.lognormal(0, 2, (300, 74)))
     y = x * (1 + rng.choice([-0.0099, 0.0099], x.shape))
     y = np.where(np.abs(x - y) <= 0.01 * np.maximum(x, y), y, x)
-    r, c, h = w.kept(x, np.ones(x.shape))
-    asked = {}
-    for rr, cc, hh in w.asked(y):
-        for k in zip(rr.tolist(), cc.tolist(), hh.tolist(), strict=True):
-            asked[k] = True
+    cells = w.cells(x)[0]
+    counted = pd.concat([pd.DataFrame({"place": p, "cell": c, "n": n}) for p in range(74) for c, n in [np.unique(cells[:, p], return_counts=True)]])
+    table = CellBits(counted, 74)
+    r, c, h = w.kept(x, table.of(cells))
+    parts = list(w.asked(y, table))
+    asked = {k for rr, cc, hh in parts for k in zip(rr.tolist(), cc.tolist(), hh.tolist(), strict=True)}
     assert all(k in asked for k in zip(r.tolist(), c.tolist(), h.tolist(), strict=True))
+    assert len(asked) < 300 * 69  # fewer than one a gram: this side is winnowed too
+    assert not any(len(a) for a, _, _ in w.asked(x * -7.0, table))
+
+
+def test_hot_grams_are_spread(spark):
+    kept = spark.createDataFrame([(i, 0, 7 if i < 50 else i) for i in range(80)], "train_class long, place int, gram long")
+    asked = spark.createDataFrame([(100 + i, 0, g) for i, g in enumerate([7, 7, 60, 99])], "eval_class long, place int, gram long")
+    got = sorted((r["eval_class"], r["train_class"]) for r in spread_join(asked, kept, ["place", "gram"], limit=5).collect())
+    assert got == sorted([(e, t) for e in (100, 101) for t in range(50)] + [(102, 60)])
+
+
+def test_short_and_empty_vectors_agree_with_every_vector(spark):
+    rows = [(1, "a", "train", 0, [1.0, 2.0]), (2, "a", "val", 0, [9.0] * 79), (3, "a", "test", 0, []), (4, "a", "train", 0, [5.0] * 74), (5, "b", "val", None, [1.0, 2.0]), (6, "b", "val", 0, None)]
+    members, pairs = split_overlaps(spark.createDataFrame(rows, NODES))
+    assert {tuple(r) for r in node_pairs(members, pairs).collect()} == brute(rows) == {(1, 2), (1, 3), (3, 4), (1, 5), (4, 5)}
+
+
+def test_coverage_of_records(spark):
+    v = [float(i + 1) for i in range(79)]
+    rows = [(1, "a", "train", 0, v), (2, "a", "train", 0, v[:74]), (3, "a", "val", 0, v[:2] + [0.5] + v[3:]), (4, "b", "test", 0, [x * 9 for x in v])]
+    got = {r["node_id"]: (r["n_pairs"], r["n_exact_pairs"], r["coverage"]) for r in record_coverage(*split_overlaps(spark.createDataFrame(rows, NODES))).collect()}
+    assert got == {3: (2, 0, 78 / 79), 4: (0, 0, 0.0)}
