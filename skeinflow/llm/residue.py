@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from operator import eq
 
@@ -61,12 +60,15 @@ PLACEHOLDERS = {
 }
 _PLACEHOLDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PLACEHOLDERS.items()))
 _ONE_WORD = re.compile(r"(?m)^\s*[^\W\d_][\w ]{1,30}:\s*(<(?!(?:a|b|i|p|u|s|br|hr|li|ul|ol|td|tr|th|em|h[1-6]|div|img|pre|code|span|body|html|head|table|strong|small|title|form|input)>)[a-z]{3,20}>)\s*$")
-_MAYBE = re.compile(r"[{<]|@@|##|[$][{A-Z]|\[(?!(?:FLOW|EDGE|PACKET|HEX|TOKENS|NOTE)\])|(?<=[^\n])\[|%[(A-Z]|__|TODO|TBD|TBA|FIXME|OFFEN|BỔ SUNG|\(to be ")
+#: One of these, or what the two patterns take, is in every text with a placeholder.
+_MAYBE = ("{", "<", "@@", "##", "$", "__", "TODO", "TBD", "TBA", "FIXME", "OFFEN", "BỔ SUNG", "(to be ", "(To be ")
+_MAYBE_PERCENT = re.compile(r"%[(A-Z]")
+_MAYBE_SQUARE = re.compile(r"\[(?:(?!(?:FLOW|EDGE|PACKET|HEX|TOKENS|NOTE)\])|(?<=[^\n]\[))")
 
 #: Words about templates, programs and manuals, by which a sentence talks about a placeholder.
 _META = re.compile(
     r"\b(?:templates?|templating|placeholders?|variables?|syntax|expressions?|interpolat\w+|format strings?|mappings?|tags?|filters?|arguments?|parameters?|attributes?|propert(?:y|ies)|macros?|engines?|escap\w+|delimiters?"
-    r"|braces|renders?|rendered|renderers?|exporters?|expand\w*|substitut\w+|replaces?|replaced|binds?|documentation|manuals?|man page|tutorials?|for example|e\.g\.|such as|guides?|notation|command line|strings?|literals?|lookups?|injections?|loggers?|logging"
+    r"|braces|renders?|rendered|renderers?|exporters?|expand\w*|substitut\w+|replaces?|replaced|binds?|documentation|manuals?|man page|tutorials?|for example|e\.g\.|such as|guides?|notation|command line|strings?|literals?|lookups?|loggers?|logging"
     r"|jinja2?|erb|mustache|handlebars|liquid|django|angular|vue|react|twig|freemarker|velocity|ansible|helm|bash|shell|ruby|python|perl|php|latex"
     r"|vorlagen?|platzhalter\w*|variablen?|ausdr[uü]ck\w*|ersetz\w*|(?:format)?zeichenketten?|ausgefüllt|handbuch|beispielsweise|exporter\w*"
     r"|mẫu|(?<!cảm )biến|cú pháp|chuỗi định dạng|được thay|thay thế|trình kết xuất|tài liệu hướng dẫn|chẳng hạn)\b",
@@ -215,13 +217,17 @@ def _spoken_of(line: str, start: int, end: int, tutorial: bool) -> bool:
     return weight - (1.5 if _SLOT.fullmatch(left) and not re.search(r"\w+ \w+ \w+", right) else 0) >= 1.5
 
 
+def _may_hold_placeholder(text: str) -> bool:
+    return any(m in text for m in _MAYBE) or "%" in text and bool(_MAYBE_PERCENT.search(text)) or "[" in text and bool(_MAYBE_SQUARE.search(text))
+
+
 def _placeholder(text: str, raw: str) -> bool:
     """Whether a placeholder is left unfilled: not quoted, not code, not a mark, not spoken of."""
-    if not _MAYBE.search(text):
+    if not _may_hold_placeholder(text):
         return False
     hits, begin = [], 0
     for line in text.split("\n"):
-        if _MAYBE.search(line):
+        if _may_hold_placeholder(line):
             hits += [(begin + m.start(), begin + m.end(), m.lastgroup) for m in _PLACEHOLDER.finditer(line)]
             hits += [(begin + m.start(1), begin + m.end(1), "angle_word") for m in _ONE_WORD.finditer(line)]
         begin += len(line) + 1
@@ -257,12 +263,10 @@ def _babble(paragraph: str) -> bool:
 
     A list is none: without a full stop, or with commas after many words, it needs struck keys.
     """
-    words = paragraph.split()
-    if len(words) < 10:
-        return False
     lower = paragraph.lower().split()
-    if any(len(language.intersection(lower)) >= 4 for language in FUNCTION_WORDS):
+    if len(lower) < 10 or any(len(language.intersection(lower)) >= 4 for language in FUNCTION_WORDS):
         return False
+    words = paragraph.split()
     plain = [w.strip(".,;:!?").lower() for w in words]
     alphabetic = [w for w in plain if w.isalpha() and w.isascii()]
     if len(alphabetic) < 10 or len(alphabetic) < 0.95 * len(plain):
@@ -279,8 +283,7 @@ def _filler(text: str) -> bool:
     lower = text.lower()
     flat = text.replace("\n", " ")
     words = lower.replace(".", "").replace(",", "").replace(";", "").replace(":", "").replace("!", "").split()
-    often = max(Counter(words).values(), default=0) >= 5
-    if often and any(sum(map(eq, words, words[p:])) >= 4 * p for p in (1, 2, 3, 4)):
+    if any(sum(map(eq, words, words[p:])) >= 4 * p for p in (1, 2, 3, 4)):
         for m in _REPEAT.finditer(flat):
             if not re.fullmatch(r"[a-f ]+", m.group(1)):
                 return True
@@ -299,19 +302,20 @@ def _filler(text: str) -> bool:
     return False
 
 
-#: Parts of words without which no message class can hold; a text without any is not split into sentences.
-_STEMS = tuple(
-    "script|skript|tập lệnh|browser|trình duyệt|error|fehler|lỗi|not found|n't |cannot|could not|unable|unavailable|not available|no longer|wrong|broke|denied|expired|timed out|too long|been moved|was moved|deleted|been removed|was removed|forbidden|"
-    "too many|not authori|permission|logged in|log in|sign in|login|no right|blocked|failed|invalid|maintenance|difficult|bad gateway|bad request|time-out|gateway timeout|request timeout|err_|unauthorized|not exist|rate limit|credential|trouble|suspended|unreachable|unresponsive|crashed|disconnected|offline|'t |did not|does not|is down|oops|ups,|"
-    "nicht |abgelaufen|gescheitert|schlagen|beendet|abgebrochen|unterbrochen|überlastet|gesperrt|berechtigung|anfragen|verweigert|abgelehnt|schief|không |hết |thất bại|bảo trì|quá tải|bị khóa|gặp sự cố|quyền|đăng nhập|gián đoạn|bị xóa|quá nhiều|"
-    " here|here.|coming soon|construction|to be |follow|no content|left blank|stand-in|placeholder|dummy|sample|example|test |testeintrag|in this |own text|ignore|type the|insert |"
-    "folgt|im aufbau|ersetz|ausgetausch|hier|stelle|platzhalter|blind|beispiel|mẫu|giữ chỗ|tại đây|ở đây|vào đây|sẽ được|đang được|thay".split("|")
-)
-
-
+#: Parts of words without which no message of the kind can be; a sentence without any is not weighed for it.
+_STEMS = {
+    1: "script|skript|tập lệnh|browser|trình duyệt",
+    2: "error|fehler|lỗi|not found|n't |'t |cannot|could not|unable|unavailable|not available|no longer|wrong|broke|denied|expired|timed out|too long|been moved|was moved|deleted|been removed|was removed|removed|forbidden|did not|does not|"
+    "too many|not authori|permission|logged in|log in|sign in|login|no right|blocked|failed|invalid|maintenance|difficult|bad gateway|bad request|time-out|gateway timeout|request timeout|err_|unauthorized|not exist|rate limit|credential|is down|oops|ups,|"
+    "trouble|suspended|unreachable|unresponsive|crashed|disconnected|offline|nicht |abgelaufen|gescheitert|schlagen|beendet|abgebrochen|unterbrochen|überlastet|gesperrt|berechtigung|anfragen|verweigert|abgelehnt|schief|"
+    "không |hết |thất bại|bảo trì|quá tải|bị khóa|gặp sự cố|quyền|đăng nhập|gián đoạn|bị xóa|quá nhiều",
+    4: " here|here.|coming soon|construction|to be |follow|no content|left blank|stand-in|placeholder|dummy|sample|example|test |testeintrag|in this |own text|ignore|type the|insert |filler|"
+    "folgt|im aufbau|ersetz|ausgetausch|hier|stelle|platzhalter|blind|beispiel|mẫu|giữ chỗ|tại đây|ở đây|vào đây|sẽ được|đang được|thay",
+}
 _STEM_TREE = ahocorasick.Automaton()
-for _stem in _STEMS:
-    _STEM_TREE.add_word(_stem, len(_stem))
+for _bit, _words in _STEMS.items():
+    for _stem in _words.split("|"):
+        _STEM_TREE.add_word(_stem, _bit)
 _STEM_TREE.make_automaton()
 
 
@@ -326,9 +330,10 @@ class _Classes(dict):
         return found
 
 
-def _points(sentence: str, alone: bool, opening: bool, only: bool, following: str) -> str | None:
+def _points(sentence: str, kinds: int, alone: bool, opening: bool, only: bool, following: str) -> str | None:
     """The kind of message a sentence is, by the points of its word classes (2 are needed), or None.
 
+    ``kinds``: what its stems allow (1 notice, 2 error, 4 stub).
     ``alone``: it fills its line; ``opening``: it opens a text of at most 40 words; ``only``: it is the whole text; ``following``: the sentence after it.
     """
     s = _LEAD.sub("", _TAG.sub(" ", sentence)).strip()
@@ -337,15 +342,19 @@ def _points(sentence: str, alone: bool, opening: bool, only: bool, following: st
     s = _QUOTED.sub(" Q ", s)
     has = _Classes(s)
     low = has.lower
-    failure = has["fail"] and has["thing"] or has["oops"] or has["status"] or has["advice"] and (has["purpose"] or has["thing"])
-    if not (failure or has["script"] or has["browser"] or has["stub_noun"] or has["pending"] or has["body"]):
+    failure = kinds & 2 and (has["thing"] and has["fail"] or has["oops"] or has["status"] or (has["purpose"] or has["thing"]) and has["advice"])
+    scripts = kinds & 1 and (has["script"] or has["browser"])
+    unwritten = kinds & 4 and (has["stub_noun"] or has["pending"] or has["body"])
+    if not (failure or scripts or unwritten):
         return None
     n_words = len(s.split())
     manner = (0.5 if alone and n_words <= 6 else 0) + (0.5 if alone or opening else 0) + (0.5 if only and n_words <= 20 else 0) + (0.5 if has["address"] else 0)
     report = sum(1 for p in _REPORT if p.search(low))
 
     notice = 0.0
-    if has["script"] and (has["need"] or has["on"] or has["off"] or has["without"]):
+    if not scripts:
+        pass
+    elif has["script"] and (has["need"] or has["on"] or has["off"] or has["without"]):
         notice = 1 + (0.5 if has["script"].start() == 0 or has["on"] and has["on"].start() < 8 else 0)
     elif has["browser"] and has["address"] and (has["off"] or re.match(r"\W*(?:just a moment\W+)?checking", low)):
         notice = 1.5
@@ -355,19 +364,19 @@ def _points(sentence: str, alone: bool, opening: bool, only: bool, following: st
             return "script_notice"
 
     error = 0.0
-    if has["status"]:
+    if failure and has["status"]:
         rest = low[has["status"].end() :]
         goes_on = _CONTINUES.match(rest) and not re.match(r"\W*\(", rest)
         error += 2 if not goes_on or has["fail"] and not report else -0.5
         if has["status"].start() > 30:
             error -= 1
-    if has["thing"] and has["fail"]:
+    if failure and has["thing"] and has["fail"]:
         error += 1
-    if has["oops"]:
+    if failure and has["oops"]:
         error += 1.5
-    if has["sorry"] and not error:
+    if failure and has["sorry"] and not error:
         error += 0.5 if has["advice"] or has["thing"] else 0
-    if has["advice"] and (error or has["purpose"] or has["thing"] and n_words <= 6):
+    if failure and has["advice"] and (error or has["purpose"] or has["thing"] and n_words <= 6):
         error += 1
     elif error and (_IS["advice"].search(following.lower()) or _IS["ref"].search(following.lower())):
         error += 0.5
@@ -376,6 +385,8 @@ def _points(sentence: str, alone: bool, opening: bool, only: bool, following: st
         if error >= 2:
             return "error"
 
+    if not unwritten:
+        return None
     stub = (1 if has["stub_noun"] else 0) + (1 if has["pending"] else 0)
     if has["order"] and has["body"]:
         stub += 1 + (0.5 if has["place"] else 0)
@@ -392,21 +403,24 @@ def _messages(text: str) -> str | None:
     lower = text.lower()
     if len(lower) != len(text):  # some capitals become two characters
         lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    hits = [end for end, _ in _STEM_TREE.iter(lower)]
+    hits = list(_STEM_TREE.iter(lower))
     if not hits:
         return None
-    short = len(text.split()) <= 40
-    parts, k = list(_sentences(text)), 0
+    parts, k, n_words = list(_sentences(text)), 0, None
     for i, (at, s) in enumerate(parts):
-        stop = at + len(s)
-        while k < len(hits) and hits[k] < at:
+        stop, kinds = at + len(s), 0
+        while k < len(hits) and hits[k][0] < stop:
+            if hits[k][0] >= at:
+                kinds |= hits[k][1]
             k += 1
-        if k == len(hits):
-            return None
-        if hits[k] >= stop:
+        if not kinds:
+            if k == len(hits):
+                return None
             continue
+        if i <= 1 and n_words is None:
+            n_words = len(text.split())
         alone = (at == 0 or text[at - 1] == "\n") and (stop == len(text) or text[stop] == "\n")
-        found = _points(s, alone, short and i <= 1, len(parts) == 1, parts[i + 1][1] if i + 1 < len(parts) else "")
+        found = _points(s, kinds, alone, i <= 1 and n_words <= 40, len(parts) == 1, parts[i + 1][1] if i + 1 < len(parts) else "")
         if found:
             return found
     return None
