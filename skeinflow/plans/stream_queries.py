@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.operators.sessions import activity
 from skeinflow.plans.core_problems import _SESSIONS as SESSIONS_SQL
-from skeinflow.session import shared_dir
+from skeinflow.session import scratch
 from skeinflow.sources.tables import flow_states, packet_events
 from skeinflow.streaming.flow_stream import run_available, stream_sessions
 from skeinflow.streaming.session_stream import session_stream
@@ -23,7 +22,7 @@ def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, name)
     run_available(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,12 +37,15 @@ def get_session(app: str = "skeinflow", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder
-    is made and set as the checkpoint directory of the session.
+    Only where none is named and the session runs in one process (tests) a temporary folder
+    is made and set as the checkpoint directory of the session; on a cluster that is an error, as
+    executors would write to folders of their own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         named = tempfile.mkdtemp(prefix="skeinflow-")
         sc.setCheckpointDir(named)
     return named
@@ -72,14 +76,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     iteration would otherwise grow its plan.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skeinflow_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for output that is not written by ``materialize``; ``release`` removes it."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove the files behind a DataFrame of :func:`materialize` that no plan needs any more."""
     path = getattr(df, "_skeinflow_path", None)

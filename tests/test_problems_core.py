@@ -1,7 +1,7 @@
 """Rolling totals, sessions and hot keys against brute force, with their edge cases."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
@@ -128,18 +128,49 @@ def test_timer_expires_only_when_due():
     assert len(timers.expire(15)) == 0 and len(timers.expire(16)) == 1 and len(timers.expire(99)) == 0
 
 
-@pytest.mark.parametrize(("chunks", "fan_in"), [(1, 2), (5, 2), (64, 8)])
-def test_tree_aggregate(spark, chunks, fan_in):
+def test_calendar_forms_agree_and_reach_the_end_day(spark):
+    rows = [("a", 1, 3, 5), ("a", 1, 9, 1), ("a", None, 4, 2), (None, 1, 7, 1), ("b", 2, None, 9), ("b", 2, 5, 4)]
+    daily = spark.createDataFrame(rows, "h string, p int, day int, records long")
+    for end in (None, 12):
+        one, two = (sorted(map(tuple, rolling.rolling_totals(daily, ["h", "p"], end_day=end, calendar_join=c).select("h", "p", "day", "records", "records_7d").collect()), key=str) for c in (False, True))
+        assert one == two and len(one) == (7 + 1 + 1 + 1 if end is None else 10 + 9 + 6 + 8)
+    assert ("a", 1, 12, 0, 1) in one
+
+
+@pytest.mark.parametrize(("partitions", "fan_in"), [(1, 2), (9, 2), (9, 8)])
+def test_tree_aggregate(spark, partitions, fan_in):
     from pyspark.sql import functions as F
 
     rnd = random.Random(3)
     rows = [(rnd.choice(["hot"] * 9 + ["x", "y", None]), rnd.choice([None, rnd.randrange(100)])) for _ in range(900)]
-    df = spark.createDataFrame(rows, "k string, v long").repartition(9)
-    got = skew.tree_aggregate(df, ["k"], {"n": ("sum", F.lit(1)), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))}, chunks, fan_in)
+    df = spark.createDataFrame(rows, "k string, v long").repartition(partitions)
+    got = skew.tree_aggregate(df, ["k"], {"n": ("sum", F.lit(1)), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))}, fan_in, partitions)
     want = {k: (len(g), *(f([v for _, v in g if v is not None]) for f in (sum, min, max))) for k in {k for k, _ in rows} for g in [[r for r in rows if r[0] == k]]}
     assert {r["k"]: (r["n"], r["s"], r["lo"], r["hi"]) for r in got.collect()} == want
 
 
+def test_no_round_of_the_tree_merges_more_than_the_fan_in():
+    assert [skew.fan_in_rounds(n, 8) for n in (0, 1, 2, 8, 9, 64, 65, 1000, 100_000)] == [0, 0, 1, 1, 2, 2, 3, 4, 6]
+    for partitions in (1, 7, 1000, 4097):
+        chunks = list(range(partitions))  # one state of a key from every partition
+        for _ in range(skew.fan_in_rounds(partitions, 8) - 1):
+            merged = Counter(c // 8 for c in chunks)
+            assert max(merged.values()) <= 8
+            chunks = list(merged)
+        assert len(chunks) <= 8  # the last round has one chunk
+
+
+def test_hot_lookup_spreads_hot_keys_and_loses_nothing(spark):
+    rows = [(i, "hot" if i % 2 else f"k{i}") for i in range(200)] + [(900, None)]
+    big = spark.createDataFrame(rows, "i long, k string").cache()
+    dim = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(0, 100, 2))], "k string, v long")
+    for how in ("inner", "left"):
+        want = sorted((r["i"], r["v"] or -1) for r in big.join(dim, "k", how).collect())
+        got = skew.hot_lookup(big, dim, "k", how, part_rows=30, hot_keys=3)
+        assert sorted((r["i"], r["v"] or -1) for r in got.collect()) == want
+    assert skew.hot_lookup(big.limit(0), dim, "k").count() == 0
+
+
 def test_heavy_keys_and_empty_tables(spark):
     raw = spark.createDataFrame([(i, "10.0.0.1" if i < 4 else f"10.0.1.{i}") for i in range(100)], "state_id long, src_ip string")
     states = raw.selectExpr("state_id", "src_ip as src_host", "1L as packet_count", "0L as start_ms", "0L as end_ms")
