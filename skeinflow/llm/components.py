@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.operators.skew import salted_lookup
+from skeinflow.operators.skew import hot_lookup, salted_lookup
 from skeinflow.session import discard, materialize
 
 
 def _roots(step: DataFrame) -> DataFrame:
-    """Follow ``m`` from every node to its end by pointer doubling: node, to. Pointers only ever go to smaller nodes."""
+    """Follow ``m`` from every node to its end by pointer doubling: node, to. Pointers only ever go to smaller nodes; many point to one root."""
     while True:
         second = step.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        jump = materialize(step.join(second, "m").select("node", F.col("mm").alias("to"), (F.col("mm") != F.col("m")).alias("moved")), "cc-jump")
+        jump = materialize(hot_lookup(step, second, "m").select("node", F.col("mm").alias("to"), (F.col("mm") != F.col("m")).alias("moved")), "cc-jump")
         discard(step)
         if not jump.where("moved").take(1):
             return jump
@@ -32,7 +32,8 @@ def smallest_in_component(edges: DataFrame, rounds: int = 60) -> DataFrame:
     one. A component stays connected and keeps its smallest node, which is what is
     left of it in the end. Nothing
     goes to the driver but one number a round; every round is written to the
-    shared folder, so a lost executor costs no more than a stage.
+    shared folder, so a lost executor costs no more than a stage. Rows that share a hub, a root or
+    the label of a giant component are spread by ``hot_lookup``.
     """
     both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b").distinct()
     left = materialize(both, "cc-edges")
@@ -48,9 +49,9 @@ def smallest_in_component(edges: DataFrame, rounds: int = 60) -> DataFrame:
         jump = _roots(step)
         at_a = jump.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         at_b = jump.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        redrawn = open_edges.join(at_a, "a").join(at_b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
+        redrawn = hot_lookup(hot_lookup(open_edges, at_a, "a"), at_b, "b", counted=open_edges).select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         fresh = materialize(redrawn.where("a <> b").distinct(), "cc-edges")
-        moved = labels.join(jump.select(F.col("node").alias("label"), "to"), "label", "left")
+        moved = hot_lookup(labels, jump.select(F.col("node").alias("label"), "to"), "label", "left")
         moved = materialize(moved.select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
         for old in (left, labels, jump):
             discard(old)
@@ -80,6 +81,7 @@ def record_groups(states: DataFrame, salts: int = 8) -> DataFrame:
     links = of_flow.join(lead, "fid").select(F.col("flow_host").alias("a"), F.col("h").alias("b"))
     pairs = seen.select(F.coalesce("src_host", "dst_host").alias("a"), F.coalesce("dst_host", "src_host").alias("b"))
     labels = smallest_in_component(pairs.unionAll(links)).select(F.col("node").alias("own_host"), F.col("label").alias("group_host"))
+    discard(seen)
 
     rows = states.select("state_id", "label", "fid", F.coalesce("src_host", "dst_host").alias("own_host"))
     hosted = rows.where(F.col("own_host").isNotNull())

@@ -10,8 +10,9 @@ that still fits; smaller items then fill the tightest remaining gap they fit int
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -128,60 +129,88 @@ def pieces(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_
     return cut.select(key, "piece_no", start.alias("from_token"), F.least(F.lit(capacity).cast("long"), F.col("_n") - start).alias("n_tokens"))
 
 
-def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", buckets: int = 64) -> DataFrame:
-    """Assign every item of ``pieces`` to a container: key, piece_no, from_token, n_tokens, container_id.
+def pack(sized: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """Assign every item of ``pieces`` to a container: key, piece_no, from_token, n_tokens, container_id."""
+    return pack_each(sized, [capacity], key, size).drop("capacity")
+
+
+def pack_each(sized: DataFrame, capacities: Sequence[int], key: str = "doc_id", size: str = "n_tokens", bucket_rows: int = 1_000_000) -> DataFrame:
+    """Assign every item of ``pieces`` to a container of each capacity, in one pass: capacity, key, piece_no, from_token, n_tokens, container_id.
 
     ``key`` identifies a text. Items of size 0 fill nothing and get a null
     container. Ranks within a size come from bucket counts and the order within a
-    bucket, so a size that a third of all texts share is ranked by ``buckets`` tasks. The
-    driver sees the histogram of sizes (at most ``capacity`` rows) and makes the plan;
-    its length depends on the capacity alone. The result is the same for any order of rows; repeated keys
+    bucket of about ``bucket_rows`` items, so a size that a third of all texts share is ranked by many tasks. The
+    driver sees the histograms of sizes (at most ``capacity`` rows each) and makes the plans;
+    their length depends on the capacities alone. The result is the same for any order of rows; repeated keys
     are texts of their own.
     """
-    items = pieces(sized, capacity, key, size)
-    counts = {r["n_tokens"]: r["n"] for r in items.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}
-    segments = sorted(Plan(counts, capacity).segments, key=lambda s: (s.size, s.first))
+    wanted = sorted(set(capacities))
+    parts = [pieces(sized, c, key, size).select(F.lit(c).cast("long").alias("capacity"), "*") for c in wanted]
+    items = reduce(DataFrame.unionAll, parts)
+    counts: dict[int, dict[int, int]] = {c: {} for c in wanted}
+    for r in items.where("n_tokens > 0").groupBy("capacity", "n_tokens").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["capacity"]][r["n_tokens"]] = r["n"]
     width = 1 << 44
-    starts = np.array([s.size * width + s.first for s in segments], dtype=np.int64)
-    first = np.array([s.first for s in segments], dtype=np.int64)
-    container = np.array([s.container for s in segments], dtype=np.int64)
-    per = np.array([s.per for s in segments], dtype=np.int64)
-    shared = sized.sparkSession.sparkContext.broadcast((starts, first, container, per))
+    plans = {}
+    for c in wanted:
+        segments = sorted(Plan(counts[c], c).segments, key=lambda s: (s.size, s.first))
+        table = [(s.size * width + s.first, s.first, s.container, s.per) for s in segments]
+        plans[c] = tuple(np.array(column, dtype=np.int64) for column in zip(*table, strict=True)) if table else None
+    shared = sized.sparkSession.sparkContext.broadcast(plans)
+    buckets = max(64, -(-max((sum(n.values()) for n in counts.values()), default=0) // bucket_rows))
 
     h = F.xxhash64(F.col(key), F.col("piece_no"))
+    own = ["capacity", "n_tokens"]
     spread = items.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
-    per_bucket = spread.groupBy("n_tokens", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = W.partitionBy("n_tokens").orderBy("_b")
-    before = per_bucket.select("n_tokens", "_b", (F.sum("_c").over(w) - F.col("_c")).alias("_before"))
-    inner = W.partitionBy("n_tokens", "_b").orderBy("_h", key, "piece_no")
-    ranked = spread.withColumn("_r", F.row_number().over(inner) - 1).join(before, ["n_tokens", "_b"])
-    ranked = ranked.select(key, "piece_no", "from_token", "n_tokens", (F.col("_before") + F.col("_r")).alias("_rank"))
+    per_bucket = spread.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = per_bucket.select(*own, "_b", (F.sum("_c").over(W.partitionBy(*own).orderBy("_b")) - F.col("_c")).alias("_before"))
+    inner = W.partitionBy(*own, "_b").orderBy("_h", key, "piece_no")
+    ranked = spread.withColumn("_r", F.row_number().over(inner) - 1).join(before, [*own, "_b"])
+    ranked = ranked.select("capacity", key, "piece_no", "from_token", "n_tokens", (F.col("_before") + F.col("_r")).alias("_rank"))
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts, first, container, per = shared.value
         for b in batches:
-            sizes, ranks = b["n_tokens"].to_numpy(), b["_rank"].to_numpy()
+            where = np.zeros(len(b), dtype=np.int64)
+            for c, plan in shared.value.items():
+                rows = np.flatnonzero((b["capacity"].to_numpy() == c) & (b["n_tokens"].to_numpy() > 0))
+                if plan is not None and len(rows):
+                    starts, first, container, per = plan
+                    ranks = b["_rank"].to_numpy()[rows]
+                    i = np.searchsorted(starts, b["n_tokens"].to_numpy()[rows] * width + ranks, side="right") - 1
+                    where[rows] = container[i] + (ranks - first[i]) // per[i]
             out = b.drop(columns="_rank")
-            if len(starts):
-                i = np.maximum(np.searchsorted(starts, sizes * width + ranks, side="right") - 1, 0)
-                where = container[i] + (ranks - first[i]) // per[i]
-                out["container_id"] = pd.array(np.where(sizes > 0, where, 0), dtype="Int64")
-                out.loc[sizes == 0, "container_id"] = pd.NA
-            else:
-                out["container_id"] = pd.array([pd.NA] * len(b), dtype="Int64")
+            out["container_id"] = pd.array(where, dtype="Int64")
+            out.loc[b["n_tokens"].to_numpy() == 0, "container_id"] = pd.NA
             yield out
 
     kinds = dict(items.dtypes)
-    return ranked.mapInPandas(place, f"`{key}` {kinds[key]}, piece_no long, from_token long, n_tokens long, container_id long")
+    return ranked.mapInPandas(place, f"capacity long, `{key}` {kinds[key]}, piece_no long, from_token long, n_tokens long, container_id long")
 
 
-def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, tokens, the least possible number of containers, and the share of capacity filled."""
-    used = packed.where(F.col("container_id").isNotNull())
-    out = used.agg(
+def fill_report(packed: DataFrame) -> DataFrame:
+    """Per capacity of ``pack_each``: containers, tokens, items, the least possible number of containers, and the share of capacity filled."""
+    used = F.col("container_id").isNotNull()
+    out = packed.groupBy("capacity").agg(
         (F.coalesce(F.max("container_id"), F.lit(-1)) + 1).alias("n_containers"),
-        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
-        F.count(F.lit(1)).alias("n_items"),
+        F.coalesce(F.sum(F.when(used, F.col("n_tokens"))), F.lit(0)).alias("n_tokens"),
+        F.count_if(used).alias("n_items"),
+    )
+    least = F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers")
+    return out.select("*", least, F.try_divide("n_tokens", F.col("n_containers") * F.col("capacity")).alias("filled"))
+
+
+def broken_rules(packed: DataFrame, sized: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """Per capacity: texts, containers above the capacity, texts cut though they fit, and texts whose pieces do not add up to their tokens.
+
+    All but the first must be 0. ``key`` must be unique here.
+    """
+    full = packed.where(F.col("container_id").isNotNull()).groupBy("capacity", "container_id").agg(F.sum("n_tokens").alias("n"))
+    over = full.groupBy("capacity").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_over_full"))
+    texts = packed.groupBy("capacity", key).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("_pieces"), F.max(F.col("piece_no") * F.col("capacity") - F.col("from_token")).alias("_off"))
+    known = sized.select(key, F.coalesce(F.col(size), F.lit(0)).alias("_size"))
+    wrong = texts.join(known, key, "full").groupBy("capacity").agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.count_if((F.col("_pieces") > 1) & (F.col("_size") <= F.col("capacity"))).alias("n_cut_though_fitting"),
+        F.count_if(~F.col("n").eqNullSafe(F.col("_size")) | (F.col("_off") != 0)).alias("n_not_adding_up"),
     )
-    least = F.ceil(F.col("n_tokens") / capacity).alias("least_containers")
-    return out.select("*", least, F.try_divide("n_tokens", F.col("n_containers") * capacity).alias("filled"))
+    return wrong.join(over, "capacity", "left").withColumn("n_over_full", F.coalesce("n_over_full", F.lit(0)))

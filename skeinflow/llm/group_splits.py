@@ -3,7 +3,8 @@
 Grouped iterative stratification: groups are the connected components of
 ``components.record_groups``; their label vectors are aggregated; then, label by
 label from the rarest outstanding one, the groups that hold it go, largest first,
-into the split that needs most of it.
+into the split that needs most of it. Moves and exchanges of heavy groups then even
+out what whole groups leave uneven.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,8 +66,56 @@ def plan(items: Sequence[_Item], proportions: Sequence[float]) -> list[list[floa
     return shares
 
 
+def even_out(items: Sequence[_Item], shares: list[list[float]], proportions: Sequence[float], steps: int = 500, total_weight: float = 3.0) -> list[list[float]]:
+    """Move or exchange heavy groups while that lowers the squared deviations from the wanted records per split and label.
+
+    All records of a split count ``total_weight`` times as much as one label's. At most ``steps`` moves,
+    each the best there is; fewer than a few thousand groups, so all pairs of them fit in memory.
+    """
+    heavy = [i for i, item in enumerate(items) if item.group is not None]
+    if not heavy:
+        return shares
+    counts = np.array([i.counts for i in items], dtype=float)
+    vectors = np.column_stack([counts.sum(axis=1) * total_weight, counts])
+    parts = np.array(shares, dtype=float)
+    part = np.asarray(proportions, dtype=float) / sum(proportions)
+    error = parts.T @ vectors - np.outer(part, vectors.sum(axis=0))
+    own = vectors[heavy]
+    where = parts[heavy].argmax(axis=1)
+    squares, dots = (own**2).sum(axis=1), own @ own.T
+    for _ in range(steps):
+        best = (-1e-6, None)
+        for s in range(len(part)):
+            for t in range(len(part)):
+                here, there = np.flatnonzero(where == s), np.flatnonzero(where == t)
+                if s == t or not len(here) or part[t] == 0:
+                    continue
+                gap = error[s] - error[t]
+                gain = own @ gap
+                move = 2 * squares[here] - 2 * gain[here]
+                i = int(move.argmin())
+                if move[i] < best[0]:
+                    best = (float(move[i]), (here[i], None, s, t))
+                if s < t and len(there):
+                    swap = 2 * (squares[here][:, None] + squares[there][None, :] - 2 * dots[np.ix_(here, there)]) - 2 * (gain[here][:, None] - gain[there][None, :])
+                    i, j = np.unravel_index(int(swap.argmin()), swap.shape)
+                    if swap[i, j] < best[0]:
+                        best = (float(swap[i, j]), (here[i], there[j], s, t))
+        if best[1] is None:
+            break
+        i, j, s, t = best[1]
+        change = own[i] - (own[j] if j is not None else 0)
+        error[s], error[t] = error[s] - change, error[t] + change
+        where[i] = t
+        if j is not None:
+            where[j] = s
+    for i, s in zip(heavy, where, strict=True):
+        shares[i] = [float(s == k) for k in range(len(part))]
+    return shares
+
+
 def assign_splits(
-    groups: DataFrame, labels: Sequence[str], splits: Sequence[tuple[str, float]], heavy_parts: int = 2000, buckets: int = 64
+    groups: DataFrame, labels: Sequence[str], splits: Sequence[tuple[str, float]], heavy_parts: int = 2000, bucket_groups: int = 100_000
 ) -> DataFrame:
     """Give every group of ``record_groups`` one split: group_key, split_name, n_records.
 
@@ -76,7 +126,8 @@ def assign_splits(
     are dealt in a fixed pseudo-random order until each share is full. So any
     share is met up to one light group. Records with a null label count as
     "unlabelled", labels outside ``labels`` as "other". A group larger than every
-    split's room still goes to one split whole. No records give no rows.
+    split's room still goes to one split whole. Light groups are dealt in buckets of about
+    ``bucket_groups``, so their number grows and not their size. No records give no rows.
     """
     names = [*labels, OTHER, UNLABELLED]
     if len(names) > 60:
@@ -89,14 +140,16 @@ def assign_splits(
     mask = sum((F.when(F.col(f"c{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(len(names))), F.lit(0).cast("long"))
     vectors = materialize(vectors.withColumn("mask", mask), "label-vectors")
     spark = groups.sparkSession
-    total = vectors.agg(F.sum("n_records")).first()[0] or 0
+    total, n_groups = vectors.agg(F.coalesce(F.sum("n_records"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = max(64, -(-n_groups // bucket_groups))
     cut = max(1, total // heavy_parts)
     cols = [f"c{k}" for k in range(len(names))]
     heavy = [_Item(r["mask"], [r[c] for c in cols], r["group_key"]) for r in vectors.where(F.col("n_records") > cut).collect()]
     light = vectors.where(F.col("n_records") <= cut)
     sums = light.groupBy("mask").agg(F.sum("n_records").alias("n_records"), *[F.sum(c).alias(c) for c in cols]).collect()
     items = heavy + [_Item(r["mask"], [r[c] for c in cols]) for r in sums]
-    shares = plan(items, [p for _, p in splits])
+    proportions = [p for _, p in splits]
+    shares = even_out(items, plan(items, proportions), proportions)
 
     split_names = [s for s, _ in splits]
     placed = [(i.group, split_names[sh.index(1.0)]) for i, sh in zip(items, shares, strict=True) if i.group is not None]

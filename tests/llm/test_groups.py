@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinflow.llm import problem1
 from skeinflow.llm.components import record_groups, smallest_in_component
-from skeinflow.llm.group_splits import _Item, assign_splits, plan
+from skeinflow.llm.group_splits import _Item, assign_splits, even_out, plan
 
 STATES = "state_id long, src_host string, dst_host string, fid string, dst_port int, packet_count long, label string, start_ms long, end_ms long"
 
@@ -103,6 +104,28 @@ def test_splits_keep_groups_and_proportions(spark):
         assign_splits(groups, ["a"], [("train", 0.0)])
 
 
+def test_splits_of_the_table_meet_their_proportions(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r["split_name"]: r["n"] for r in problem1.p1_splits(spark, d).groupBy("split_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {r["split_name"]: r["proportion"] for r in spark.read.parquet(f"{d}/split_plan.parquet").collect()}
+    whole = sum(got.values())
+    assert set(got) == set(wanted) and all(abs(got[s] / whole - p) <= 0.02 * p for s, p in wanted.items())
+    r = problem1.p1_check(spark, d).first()
+    assert (r["n_records"], r["n_without_split"], r["n_groups_in_two_splits"]) == (whole, 0, 0)
+
+
+def test_heavy_groups_are_evened_out():
+    items = [_Item(1, [n, m], f"g{i}") for i, (n, m) in enumerate([(50, 0), (30, 5), (20, 5), (9, 1), (8, 0), (7, 1), (5, 0), (4, 2)])]
+    before = plan(items, [0.8, 0.1, 0.1])
+    after = even_out(items, [list(s) for s in before], [0.8, 0.1, 0.1])
+
+    def off(shares):
+        return sum(abs(sum(s[k] * sum(i.counts) for s, i in zip(shares, items, strict=True)) - p * 147) for k, p in enumerate([0.8, 0.1, 0.1]))
+
+    assert off(after) <= off(before) and all(sorted(s) == [0.0, 0.0, 1.0] for s in after)
+    assert even_out([], [], [1.0]) == []
+
+
 def test_queries_keep_every_row(spark):
     d = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{d}/flow_state.parquet").count()

@@ -89,9 +89,20 @@ def test_packing_keeps_every_text(spark):
     assert split == {i for i, n, _ in rows if n and n > 100}
     again = containers.pack(df.repartition(5), 100).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
-    report = containers.fill_report(containers.pack(df, 100), 100).first()
+    report = containers.fill_report(containers.pack_each(df, [100, 7])).where("capacity = 100").first()
     assert report["n_containers"] == len(used) and report["filled"] > 0.9
     assert containers.pack(df.limit(0), 100).count() == 0
+    both = containers.pack_each(df, [100, 7])
+    assert sorted(map(tuple, both.where("capacity = 100").drop("capacity").collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_broken_rules_are_counted(spark):
+    sized = spark.createDataFrame([(1, 5), (2, 12), (3, None), (4, 3)], "doc_id long, n_tokens long")
+    good = containers.pack_each(sized, [5, 10])
+    assert {tuple(r) for r in containers.broken_rules(good, sized).select("capacity", "n_texts", "n_over_full", "n_cut_though_fitting", "n_not_adding_up").collect()} == {(5, 4, 0, 0, 0), (10, 4, 0, 0, 0)}
+    bad = spark.createDataFrame([(10, 1, 0, 0, 3, 0), (10, 1, 1, 10, 2, 0), (10, 2, 0, 0, 9, 0), (10, 3, 0, 0, 0, None), (10, 4, 0, 0, 3, 1)], "capacity long, doc_id long, piece_no long, from_token long, n_tokens long, container_id long")
+    r = containers.broken_rules(bad, sized).first()
+    assert (r["n_texts"], r["n_over_full"], r["n_cut_though_fitting"], r["n_not_adding_up"]) == (4, 1, 1, 1)
 
 
 CASES = {
