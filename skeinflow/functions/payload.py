@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,40 +26,77 @@ def latin(payload: Column | str) -> Column:
     return F.decode(F.col(payload) if isinstance(payload, str) else payload, "ISO-8859-1")
 
 
-def _grams(payload: Column, size: int, stride: int, prefix: str) -> Column:
-    n = F.length(payload)
-    places = F.sequence(F.lit(0), F.floor((n - size) / stride).cast("int"))
-    grams = F.transform(places, lambda i: F.concat(F.lit(prefix), F.lower(F.hex(F.substring(payload, i * stride + 1, F.lit(size))))))
-    return F.when(n >= size, grams).otherwise(F.array().cast("array<string>"))
-
-
 def printable_ratio(payload: str) -> Column:
     """Share of printable bytes (space to tilde, tab, line ends); null for an empty payload."""
     kept = F.length(F.regexp_replace(latin(payload), r"[^ -~\t\r\n]", ""))
     return F.try_divide(kept, F.length(payload))
 
 
-def tokens(payload: str, cap: int | None = 200, kinds: tuple[str, ...] = ("b4", "b8", "t")) -> Column:
+KINDS = ("b4", "b8", "t")
+_PRINTABLE = bytes([*range(0x20, 0x7F), 9, 10, 13])
+_SPLIT = re.compile(SPLIT)
+
+
+def token_list(raw: bytes | None, cap: int | None = 200, kinds: tuple[str, ...] = KINDS) -> list[str]:
+    """Distinct tokens of one payload in order of generation, the first ``cap`` of them; stops there."""
+    if not raw:
+        return []
+    found: dict[str, None] = {}
+    digits, n = raw.hex(), len(raw)
+    for kind in kinds:
+        if cap is not None and len(found) >= cap:
+            break
+        if kind == "t":
+            if n - len(raw.translate(None, _PRINTABLE)) > 0.7 * n:
+                found.update(dict.fromkeys("t:" + s for s in _SPLIT.split(raw.decode("latin-1").lower()) if 2 <= len(s) <= 64))
+            continue
+        size, stride = (8, 2) if kind == "b4" else (16, 8)
+        starts = range(0, 2 * n - size + 1, stride)
+        step = len(starts) if cap is None else 2 * cap
+        for at in range(0, len(starts), step or 1):
+            found.update(dict.fromkeys(f"{kind}:{digits[i : i + size]}" for i in starts[at : at + step]))
+            if cap is not None and len(found) >= cap:
+                break
+    return list(found) if cap is None else list(found)[:cap]
+
+
+def tokens(payload: str, cap: int | None = 200, kinds: tuple[str, ...] = KINDS) -> Column:
     """Distinct tokens of a payload in order of generation, the first ``cap`` of them (None: all).
 
     Sliding 4-byte grams ``b4:``, then 8-byte grams every 4 bytes ``b8:``, then - if
     more than 70 % of the bytes are printable - lower-case text pieces ``t:`` of 2 to 64
-    characters. A null or empty payload has no tokens.
+    characters. A null or empty payload has no tokens. An Arrow function, as a lambda per gram is slower.
     """
-    pieces = F.filter(F.split(F.lower(latin(payload)), SPLIT), lambda s: F.length(s).between(2, 64))
-    text = F.when(printable_ratio(payload) > 0.7, F.transform(pieces, lambda s: F.concat(F.lit("t:"), s)))
-    whole = F.col(payload)
-    parts = {"b4": _grams(whole, 4, 1, "b4:"), "b8": _grams(whole, 8, 4, "b8:"), "t": F.coalesce(text, F.array().cast("array<string>"))}
-    every = F.array_distinct(F.concat(*[parts[k] for k in kinds]))
-    every = F.coalesce(every, F.array().cast("array<string>"))
-    if cap is None:
-        return every
-    every = F.slice(every, 1, cap)
-    if kinds[0] != "b4":
-        return every
-    # Where the first bytes already bring ``cap`` distinct grams, the rest of the payload adds none.
-    first = F.array_distinct(_grams(F.substring(whole, 1, 2 * cap + 3), 4, 1, "b4:"))
-    return F.when(F.size(first) >= cap, F.slice(first, 1, cap)).otherwise(every)
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([token_list(None if v is None else bytes(v), cap, kinds) for v in values], dtype="object")
+
+    return run(payload)
+
+
+def token_rows(df: DataFrame, keep: Sequence[str], payload: str, cap: int | None = None, kinds: tuple[str, ...] = KINDS, chunk: int = 200_000) -> DataFrame:
+    """``keep`` columns and ``token``, one row per distinct token of a payload (see ``tokens``).
+
+    Rows leave in batches of about ``chunk``, however long the payloads are, so memory is bounded by the longest one.
+    """
+    cols, types = list(keep), dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            found: list[str] = []
+            for i, raw in enumerate(b.column("_payload")):
+                own = token_list(raw.as_py(), cap, kinds)
+                rows += [i] * len(own)
+                found += own
+                if found and (len(found) >= chunk or i + 1 == b.num_rows):  # the last one may have no token of its own
+                    at = pa.array(rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in cols], pa.array(found, pa.string())], [*cols, "token"])
+                    rows, found = [], []
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in cols), "token string"])
+    return df.select(*cols, F.col(payload).alias("_payload")).mapInArrow(run, schema)
 
 
 def byte_values(payload: str) -> Column:

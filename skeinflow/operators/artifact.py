@@ -38,7 +38,7 @@ def build(packets: DataFrame, pmi: DataFrame, literals: DataFrame, techniques: D
     flowed = materialize(flows.assign_flows(packets, **flow_options), "graph-packets")  # read by every tier
     features = materialize(flows.flow_features(flowed), "graph-flows")
     kept = flowed.where(F.col("payload_len") > 0)
-    tokens = kept.select("seq", P.tokens("payload").alias("tokens"))
+    tokens = P.token_rows(kept, ["seq"], "payload", 200)
     text = kept.select("seq", P.latin("payload").alias("text"))
     patterns = [r["pattern"] for r in literals.select("pattern").distinct().collect()]
     hits = evidence.literal_weights(evidence.literal_hits(text, "seq", "text", patterns), "seq", literals)

@@ -14,48 +14,47 @@ from skeinflow.functions import payload as P
 #: Families that have an edge type of their own.
 EDGE_FAMILIES = ("injection", "command_exec", "file_upload", "recon", "c2_beacon")
 #: Payload rules as technique, pattern, decoders, weight.
-_L, _U, _H = "lowercase", "url_decode", "html_entity_decode"
 PAYLOAD_RULES = (
-    ("sqli_union_select", "T1190", r"union\s+(all\s+)?select\b", (_L, _U), 0.9),
-    ("sqli_or_1_eq_1", "T1190", r"or\s+1\s*=\s*1\b", (_L, _U), 0.8),
-    ("sqli_comment_marker", "T1190", r"--\s", (_U,), 0.4),
-    ("sqli_info_schema", "T1190", r"information_schema\b", (_L, _U), 0.7),
-    ("sqli_sleep", "T1190", r"\bsleep\s*\(", (_L, _U), 0.6),
-    ("sqli_benchmark", "T1190", r"\bbenchmark\s*\(", (_L, _U), 0.6),
-    ("sqli_load_file", "T1190", r"\bload_file\s*\(", (_L, _U), 0.7),
-    ("sqli_into_outfile", "T1190", r"\binto\s+outfile\b", (_L, _U), 0.8),
-    ("xss_script_tag", "T1059.007", r"<script\b", (_L, _U, _H), 0.85),
-    ("xss_onerror", "T1059.007", r"\bonerror\s*=", (_L, _U, _H), 0.7),
-    ("xss_onload", "T1059.007", r"\bonload\s*=", (_L, _U, _H), 0.6),
-    ("xss_javascript_proto", "T1059.007", r"javascript:", (_L, _U), 0.7),
-    ("xss_iframe", "T1059.007", r"<iframe\b", (_L, _U), 0.5),
-    ("xss_svg_onload", "T1059.007", r"<svg\b[^>]*onload", (_L, _U), 0.7),
-    ("cmd_etc_passwd", "T1059.004", r"/etc/passwd\b", (_L, _U), 0.85),
-    ("cmd_dollar_paren", "T1059.004", r"\$\([^)]+\)", (_U,), 0.6),
-    ("cmd_backtick", "T1059.004", r"`[a-z0-9_\-]+`", (_L, _U), 0.55),
-    ("cmd_pipe_sh", "T1059.004", r"\|\s*(sh|bash|zsh)\b", (_L, _U), 0.7),
-    ("cmd_wget_curl", "T1059.004", r"\b(wget|curl)\s+https?://", (_L, _U), 0.5),
-    ("cmd_bin_shell", "T1059.004", r"/bin/(sh|bash)\b", (_L, _U), 0.7),
-    ("upload_dangerous_ext", "T1505.003", r"filename=[\"']?[^\"'\\/]*\.(php|jsp|asp|aspx|jspx|phtml)\b", (_L, _U), 0.85),
-    ("upload_multipart_boundary", "T1505.003", r"multipart/form-data;\s*boundary=", (_L,), 0.3),
-    ("webshell_eval", "T1505.003", r"\beval\s*\(", (_L, _U), 0.6),
-    ("webshell_base64_decode", "T1505.003", r"\bbase64_decode\s*\(", (_L, _U), 0.7),
-    ("webshell_system", "T1505.003", r"\b(system|passthru|shell_exec)\s*\(", (_L, _U), 0.7),
+    ("T1190", r"union\s+(all\s+)?select\b", ("lowercase", "url_decode"), 0.9),
+    ("T1190", r"or\s+1\s*=\s*1\b", ("lowercase", "url_decode"), 0.8),
+    ("T1190", r"--\s", ("url_decode",), 0.4),
+    ("T1190", r"information_schema\b", ("lowercase", "url_decode"), 0.7),
+    ("T1190", r"\bsleep\s*\(", ("lowercase", "url_decode"), 0.6),
+    ("T1190", r"\bbenchmark\s*\(", ("lowercase", "url_decode"), 0.6),
+    ("T1190", r"\bload_file\s*\(", ("lowercase", "url_decode"), 0.7),
+    ("T1190", r"\binto\s+outfile\b", ("lowercase", "url_decode"), 0.8),
+    ("T1059.007", r"<script\b", ("lowercase", "url_decode", "html_entity_decode"), 0.85),
+    ("T1059.007", r"\bonerror\s*=", ("lowercase", "url_decode", "html_entity_decode"), 0.7),
+    ("T1059.007", r"\bonload\s*=", ("lowercase", "url_decode", "html_entity_decode"), 0.6),
+    ("T1059.007", r"javascript:", ("lowercase", "url_decode"), 0.7),
+    ("T1059.007", r"<iframe\b", ("lowercase", "url_decode"), 0.5),
+    ("T1059.007", r"<svg\b[^>]*onload", ("lowercase", "url_decode"), 0.7),
+    ("T1059.004", r"/etc/passwd\b", ("lowercase", "url_decode"), 0.85),
+    ("T1059.004", r"\$\([^)]+\)", ("url_decode",), 0.6),
+    ("T1059.004", r"`[a-z0-9_\-]+`", ("lowercase", "url_decode"), 0.55),
+    ("T1059.004", r"\|\s*(sh|bash|zsh)\b", ("lowercase", "url_decode"), 0.7),
+    ("T1059.004", r"\b(wget|curl)\s+https?://", ("lowercase", "url_decode"), 0.5),
+    ("T1059.004", r"/bin/(sh|bash)\b", ("lowercase", "url_decode"), 0.7),
+    ("T1505.003", r"filename=[\"']?[^\"'\\/]*\.(php|jsp|asp|aspx|jspx|phtml)\b", ("lowercase", "url_decode"), 0.85),
+    ("T1505.003", r"multipart/form-data;\s*boundary=", ("lowercase",), 0.3),
+    ("T1505.003", r"\beval\s*\(", ("lowercase", "url_decode"), 0.6),
+    ("T1505.003", r"\bbase64_decode\s*\(", ("lowercase", "url_decode"), 0.7),
+    ("T1505.003", r"\b(system|passthru|shell_exec)\s*\(", ("lowercase", "url_decode"), 0.7),
 )
 
 
 def payload_signatures(df: DataFrame, key: str, payload: str, rules: Sequence[tuple] = PAYLOAD_RULES) -> DataFrame:
     """key, technique, weight: summed weights of the rules that match the decoded payload, at most 1."""
-    chains = list(dict.fromkeys(r[3] for r in rules))
+    chains = list(dict.fromkeys(r[2] for r in rules))
     rows = df.select(key, *[P.latin(P.decoded(payload, c)).alias(f"_d{i}") for i, c in enumerate(chains)])
-    fired = F.array(*[F.when(F.col(f"_d{chains.index(c)}").rlike("(?i)" + p), F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"))) for _, t, p, c, w in rules])
+    fired = F.array(*[F.when(F.col(f"_d{chains.index(c)}").rlike("(?i)" + p), F.struct(F.lit(t).alias("t"), F.lit(w).alias("w"))) for t, p, c, w in rules])
     hits = rows.select(key, F.explode(F.filter(fired, lambda h: h.isNotNull())).alias("h"))
     return hits.groupBy(key, F.col("h.t").alias("technique")).agg(F.least(F.lit(1.0), F.sum("h.w")).alias("weight"))
 
 
 def token_class_counts(tokens: DataFrame, label: str = "label") -> DataFrame:
-    """token, label, n_tc from rows of (tokens array, label); tokens must be distinct within a row."""
-    return tokens.select(label, F.explode("tokens").alias("token")).groupBy("token", label).agg(F.count(F.lit(1)).alias("n_tc"))
+    """token, label, n_tc from rows of (label, token), where a token comes once per payload."""
+    return tokens.groupBy("token", label).agg(F.count(F.lit(1)).alias("n_tc"))
 
 
 def pmi_candidates(counts: DataFrame, classes: DataFrame, label: str = "label", pmi_min: float = 1.0, global_support: int = 50, class_support: int = 5) -> DataFrame:
@@ -90,11 +89,18 @@ def family_specific(table: DataFrame, tau: float) -> DataFrame:
 
 
 def pmi_hits(tokens: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """key, technique, family, weight: summed token weights, at most 1 (negative sums are kept)."""
-    hits = tokens.select(key, F.explode("tokens").alias("token")).join(table, "token")
+    """key, technique, family, weight: summed token weights, at most 1 (negative sums are kept). ``tokens`` has one row per key and token."""
+    hits = tokens.select(key, "token").join(table, "token")
     return hits.groupBy(key, "technique").agg(F.min("family").alias("family"), F.least(F.lit(1.0), F.sum("weight")).alias("weight"))
 
 
+def pmi_provenance(tokens: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """key, technique, matched: the tokens behind each hit of ``pmi_hits`` with their weights, largest absolute weight first, ties by token."""
+    hits = tokens.select(key, "token").join(table, "token")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.abs("weight")).alias("o"), "token", "weight")))
+    return hits.groupBy(key, "technique").agg(F.transform(ordered, lambda m: F.struct(m["token"].alias("token"), m["weight"].alias("weight"))).alias("matched"))
+
+
 def extract_literals(text: str) -> F.Column:
     """Lower-case literals of 3 to 80 characters set as code in a description."""
     found = F.concat(F.regexp_extract_all(text, F.lit(r"(?s)<code>(.*?)</code>"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"`([^`]+)`"), F.lit(1)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions import canon
 from skeinflow.functions import payload as P
 from skeinflow.operators import evidence as E
+from skeinflow.operators.pmi_training import fit_table, presence_rows
 from skeinflow.plans import sqlkit
 from skeinflow.session import materialize
 from skeinflow.sources.tables import table
@@ -25,7 +26,7 @@ def tokens_capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supported(spark: SparkSession, d: str, kind: str, least: int) -> DataFrame:
-    rows = payloads(spark, d).select(F.explode(P.tokens("payload", None, (kind,))).alias("token"))
+    rows = P.token_rows(payloads(spark, d), [], "payload", kinds=(kind,))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
 
 
@@ -82,8 +83,9 @@ def payload_signatures(spark: SparkSession, d: str) -> DataFrame:
     return E.payload_signatures(payloads(spark, d), "doc_id", "payload").select("doc_id", "technique", F.round("weight", 6).alias("weight"))
 
 
-def text_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return payloads(spark, d).select("doc_id", "label", "flow", P.tokens("payload", None, ("t",)).alias("tokens"))
+def all_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, label, token: every byte gram and text token of every document, none cut off."""
+    return P.token_rows(payloads(spark, d), ["doc_id", "label"], "payload")
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
@@ -91,11 +93,11 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return E.pmi_candidates(E.token_class_counts(text_tokens(spark, d)), _classes(spark, d), pmi_min=0.3, global_support=20)
+    return E.pmi_candidates(E.token_class_counts(all_tokens(spark, d)), _classes(spark, d))
 
 
 def pmi_counts(spark: SparkSession, d: str) -> DataFrame:
-    return E.token_class_counts(text_tokens(spark, d))
+    return E.token_class_counts(all_tokens(spark, d))
 
 
 def pmi_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +157,7 @@ def _consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    pmi = E.pmi_hits(text_tokens(spark, d), "doc_id", family_filter(spark, d))
+    pmi = E.pmi_hits(all_tokens(spark, d), "doc_id", family_filter(spark, d))
     literals = E.literal_weights(_hits(spark, d), "doc_id", dictionary(spark, d))
     families = table(spark, d, "traffic_class").where("technique_id is not null").select(F.col("technique_id").alias("technique"), "family")
     return E.vote(pmi, literals, _consensus(spark, d), families, "doc_id")
@@ -186,23 +188,34 @@ def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in E.EDGE_FAMILIES})
 
 
+def pmi_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """The matched tokens of each document and technique, with their number and their digest in order."""
+    m = E.pmi_provenance(all_tokens(spark, d), "doc_id", family_filter(spark, d))
+    return m.select("doc_id", "technique", F.size("matched").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("matched", lambda x: x["token"]), " ").cast("binary")).alias("tokens_md5"))
+
+
 def l1_logistic_pmi(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of every PMI candidate, whatever its frequency."""
-    rows = materialize(text_tokens(spark, d).select("tokens", "label"), "l1_rows")
-    return E.l1_logistic(rows, "tokens", "label", vocabulary=_candidates(spark, d))
+    candidates = materialize(_candidates(spark, d), "l1-candidates")
+    return E.l1_logistic(presence_rows(payloads(spark, d).select("doc_id", "label"), all_tokens(spark, d), "doc_id", candidates), "tokens", "label", vocabulary=candidates)
 
 
 def l1_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates, L1 fit, projection to techniques and family filter in one chain."""
+    """The fit projected to techniques, and its family-specific rows."""
     return E.family_specific(E.project_to_techniques(l1_logistic_pmi(spark, d), class_map(spark, d)), 0.9)
 
 
+def pmi_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole training: subsample, counts, candidates, L1 fit, projection and family filter."""
+    return fit_table(payloads(spark, d).select("doc_id", "label", "payload"), "doc_id", class_map(spark, d))[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokens_capped, token_b4, token_b8, token_text, printable_ratio, byte_histogram, byte_entropy, hash_ngram, ordered_bytes, http_structure, payload_vector, payload_preview,
         payload_signatures, pmi_counts, pmi_candidates, pmi_topk, pmi_projection, family_filter, literal_hits, literal_weights, evidence_vote, evidence_edges, evidence_summary,
-        evidence_by_flow_family, evidence_coverage, l1_logistic_pmi, l1_projection,
+        evidence_by_flow_family, evidence_coverage, pmi_provenance, l1_logistic_pmi, l1_projection, pmi_table,
     )
 }
 
@@ -212,9 +225,9 @@ _B8 = "b8 as (select doc_id, 2 as k, i, 'b8:' || l[i + 1] || l[i + 2] || l[i + 3
 _BY = "byt as (select doc_id, n, i, (strpos('0123456789abcdef', x[1]) - 1) * 16 + strpos('0123456789abcdef', x[2]) - 1 as b from (select doc_id, n, i, l[i + 1] as x from (select doc_id, l, n, unnest(range(n)) as i from hx)))"
 _LAT = "lat as (select doc_id, max(n) as n, string_agg(chr((case when b = 0 then 1 else b end)::integer), '' order by i) as s, sum(case when (b >= 32 and b <= 126) or b in (9, 10, 13) then 1 else 0 end) as p from byt group by doc_id)"
 _TT = "tt as (select doc_id, 3 as k, j as i, 't:' || w[j + 1] as token from (select doc_id, w, unnest(range(len(w))) as j from (select doc_id, regexp_split_to_array(lower(s), '[ \\t\\r\\n?&=/]+') as w from lat where p::double / n > 0.7)) where length(w[j + 1]) between 2 and 64)"
-_TD = "td as (select distinct doc_id, token from tt), lab as (select doc_id, label, flow from hx), tc as (select t.token, d.label, count(*) as n_tc from td t join lab d on t.doc_id = d.doc_id group by 1, 2)"
-_T = f"with {_HX}, {_BY}, {_LAT}, {_TT}, {_TD}"
-_CAND = ", nt as (select *, cast(sum(n_tc) over (partition by token) as bigint) as n_t from tc), cl as (select label, count(*) as n_c from hx group by 1), cand as (select token, nt.label, n_tc, n_t, round(ln(n_tc * (select sum(n_c) from cl)::double / (n_t::double * n_c)), 6) as pmi from nt join cl on nt.label = cl.label where n_t >= 20 and n_tc >= 5 and ln(n_tc * (select sum(n_c) from cl)::double / (n_t::double * n_c)) >= 0.3)"
+_TD = "td as (select distinct doc_id, token from (select doc_id, token from b4 union all select doc_id, token from b8 union all select doc_id, token from tt)), lab as (select doc_id, label, flow from hx), tc as (select t.token, d.label, count(*) as n_tc from td t join lab d on t.doc_id = d.doc_id group by 1, 2)"
+_T = f"with {_HX}, {_B4}, {_B8}, {_BY}, {_LAT}, {_TT}, {_TD}"
+_CAND = ", nt as (select *, cast(sum(n_tc) over (partition by token) as bigint) as n_t from tc), cl as (select label, count(*) as n_c from hx group by 1), cand as (select token, nt.label, n_tc, n_t, round(ln(n_tc * (select sum(n_c) from cl)::double / (n_t::double * n_c)), 6) as pmi from nt join cl on nt.label = cl.label where n_t >= 50 and n_tc >= 5 and ln(n_tc * (select sum(n_c) from cl)::double / (n_t::double * n_c)) >= 1.0)"
 _KINDS = "('card', 4), ('digest', 5), ('graph_text', 6), ('note', 7), ('report', 8), ('runbook', 9), ('ticket', 10)"
 _PROJ = f", kd(label, c) as (values {_KINDS}), cm as (select (select min(label) from kd where kd.c = 4 + (c.class_id - 4) % 7 and c.class_id >= 4) as label, technique_id as technique, family, 1.0::double - c.class_id * 0.01::double as map_weight from traffic_class c where technique_id is not null), proj as (select token, technique, family, round(greatest(-1.0, least(1.0, sum(pmi * 0.2::double * map_weight))), 6) as weight from cand join cm on cand.label = cm.label where cm.label is not null group by 1, 2, 3), proj2 as (select * from proj where abs(weight) >= 0.01)"
 _FAM = ", fw as (select *, sum(abs(weight)) over (partition by token, family) as fw from proj2), fm as (select *, max(fw) over (partition by token) as m from fw), spec as (select token, technique, family, weight from fm where fw >= 0.9::double * m)"
@@ -244,13 +257,13 @@ def _cnt(cls: str) -> str:
 
 _RULE_SQL = " union all ".join(
     f"select doc_id, '{t}' as technique, {w}::double as w from documents where text is not null and regexp_matches({'lower(text)' if 'lowercase' in c else 'text'}, '(?i){p.replace(chr(39), chr(39) * 2)}')"
-    for _, t, p, c, w in E.PAYLOAD_RULES
+    for t, p, c, w in E.PAYLOAD_RULES
 )
 ORACLE = {
     "tokens_capped": f"with {_HX}, {_B4}, {_B8}, {_BY}, {_LAT}, {_TT}, a as (select * from b4 union all select * from b8 union all select * from tt), f as (select doc_id, token, min(k * 1000000 + i) as o from a group by 1, 2), r as (select *, row_number() over (partition by doc_id order by o) as rn from f), g as (select doc_id, count(*) as n, md5(string_agg(token, ' ' order by o)) as m from r where rn <= 200 group by 1) select hx.doc_id, coalesce(g.n, 0) as n_tokens, coalesce(g.m, md5('')) as tokens_md5 from hx left join g on hx.doc_id = g.doc_id",
     "token_b4": _support(_B4, "b4", 50),
     "token_b8": _support(_B8, "b8", 10),
-    "token_text": f"{_T} select token, count(*) as n_docs from td group by 1",
+    "token_text": f"with {_HX}, {_BY}, {_LAT}, {_TT} select token, count(distinct doc_id) as n_docs from tt group by 1",
     "printable_ratio": f"with {_HX}, {_BY}, {_LAT} select hx.doc_id, round(p::double / lat.n, 6) as ratio from hx left join lat on hx.doc_id = lat.doc_id",
     "byte_histogram": f"with {_HX}, {_BY} select doc_id, cast(b as integer) as byte, count(*) as n from byt group by 1, 2",
     "byte_entropy": f"with {_HX}, {_BY}, c as (select doc_id, b, count(*) / max(n)::double as p from byt group by 1, 2) select doc_id, round(-sum(p * log2(p + 1e-12)), 6) as entropy, round(sum(case when b between 32 and 126 then p else 0 end), 6) as printable, round(sum(case when b = 0 then p else 0 end), 6) as zeros from c group by 1",
@@ -267,6 +280,7 @@ ORACLE = {
     "pmi_topk": f"{_T}{_CAND}, r as (select token, label, pmi, cast(row_number() over (partition by label order by pmi desc, token) as integer) as rank from cand) select * from r where rank <= 20",
     "pmi_projection": f"{_T}{_CAND}{_PROJ} select * from proj2",
     "family_filter": f"{_T}{_CAND}{_PROJ}{_FAM} select * from spec",
+    "pmi_provenance": f"{_T}{_CAND}{_PROJ}{_FAM} select doc_id, technique, count(*) as n_tokens, md5(string_agg(td.token, ' ' order by abs(weight) desc, td.token)) as tokens_md5 from td join spec on td.token = spec.token group by 1, 2",
     "literal_hits": f"with {_HX}{_LITS} select doc_id, pattern from lh",
     "literal_weights": f"with {_HX}{_LITS} select doc_id, technique, round(weight, 6) as weight from lw",
     "evidence_vote": f"{_ED} select doc_id, technique, family, round(weight, 4) as weight from ed",

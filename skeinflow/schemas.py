@@ -30,7 +30,7 @@ _STATS = ("mean", "std", "min", "max", "sum")
 _IAT = ("mean", "std", "min", "max")
 _FAN = ("fan_dst_ip", "fan_dst_port", "fan_dst_subnet", "fan_syn", "fan_pkts")
 
-#: The flow vector: 73 window features, the start time, and five evidence summaries, in order.
+#: The flow vector, 73 window features, the start time, and five evidence summaries, in order.
 FLOW_FEATURES = (
     *("proto", "src_port", "dst_port"),
     *("tot_pkts", "fwd_pkts", "bwd_pkts", "tot_bytes", "fwd_bytes", "bwd_bytes"),
@@ -44,5 +44,6 @@ FLOW_FEATURES = (
     "fan_rate_pkts_5s",
     "mean_ip_len_fwd_minus_bwd",
 )
+#: The evidence summaries that end the vector, in order.
 EVIDENCE_FEATURES = ("ev_count", "ev_max_weight", "ev_dominant_family_id", "ev_n_distinct_families", "ev_sum_log1p_weight")
 FLOW_VECTOR = (*FLOW_FEATURES, "flow_start_ts", *EVIDENCE_FEATURES)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import payload as P
 from skeinflow.operators import evidence as E
+from skeinflow.operators import pmi_training
 from skeinflow.plans import text_queries
 
 
@@ -99,12 +100,37 @@ def test_l1_logistic_separates(spark):
     assert coefs.get(("t:a", "one"), 0) > coefs.get(("t:a", "two"), 0)
 
 
-def test_l1_logistic_fits_every_candidate(spark, tmp_path):
-    common = " ".join(f"w{i:04d}" for i in range(2100))
-    rows = [(i, "note" if i % 2 else "report", None, common + (" rare" if i % 2 else " other")) for i in range(60)]
-    spark.createDataFrame(rows, "doc_id long, kind string, flow_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["token"], r["label"]) for r in text_queries.l1_logistic_pmi(spark, str(tmp_path)).collect()}
-    assert {t for t, _ in got} == {"t:rare", "t:other"}
+def test_token_rows_are_the_lists(spark):
+    raws = [b"", None, b"GET /a?b=cc HTTP", bytes(range(90)), b"abc", b"A" * 40]
+    df = spark.createDataFrame([(i, None if r is None else bytearray(r), "x") for i, r in enumerate(raws)], "k long, p binary, token string")
+    got = {}
+    for r in P.token_rows(df, ["k"], "p", chunk=5).collect():
+        got.setdefault(r["k"], []).append(r["token"])
+    assert got == {i: t for i, r in enumerate(raws) if (t := P.token_list(r, None))}
+    assert P.token_list(b"ab cd ab", 3) == ["b4:61622063", "b4:62206364", "b4:20636420"] and P.token_list(b"ab cd ab", None, ("t",)) == ["t:ab", "t:cd"]
+    assert P.token_rows(df.limit(0), ["k"], "p").count() == 0
+
+
+def test_provenance_lists_tokens_by_weight(spark):
+    tokens = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "z")], "k long, token string")
+    table = spark.createDataFrame([("a", "T1", "recon", 0.1), ("b", "T1", "recon", -0.6), ("c", "T1", "recon", 0.1)], "token string, technique string, family string, weight double")
+    got = E.pmi_provenance(tokens, "k", table).collect()
+    assert [(r["k"], r["technique"], [tuple(m) for m in r["matched"]]) for r in got] == [(1, "T1", [("b", -0.6), ("a", 0.1), ("c", 0.1)])]
+
+
+def test_training_fits_every_candidate_and_is_stored(spark, tmp_path):
+    common = " ".join(f"w{i:04d}" for i in range(300))
+    rows = [(i, "note" if i % 2 else "report", bytearray((common + (" rare" if i % 2 else " other")).encode())) for i in range(120)] + [(900, None, None)]
+    packets = spark.createDataFrame(rows, "k long, label string, payload binary")
+    mapping = spark.createDataFrame([("note", "T1", "recon", 1.0), ("report", "T2", "injection", 1.0)], "label string, technique string, family string, map_weight double")
+    table, meta = pmi_training.fit_table(packets, "k", mapping, pmi_min=0.3, global_support=20, iterations=30)
+    assert meta["class_total"]["note"] == 60 * 4 and meta["n_candidate_tokens"] < 40 < 300 < meta["n_unique_tokens"]
+    signs = {(r["token"], r["technique"]): r["weight"] > 0 for r in table.collect()}
+    assert signs and all(up for (t, k), up in signs.items() if k == "T1" and t == "t:rare")
+    pmi_training.save_table(table, meta, str(tmp_path / "t"))
+    back, read = pmi_training.load_table(spark, str(tmp_path / "t"))
+    assert back.count() == meta["rows"] and read == meta
+    assert pmi_training.fit_table(packets.limit(0), "k", mapping)[0].count() == 0
 
 
 def test_l1_projection_uses_the_fit(spark, monkeypatch):
