@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from skeinflow.llm import problem1, problem2, problem6, problem7, problem8, problem9
 
-MODULES = ("problem1", "problem2", "problem6", "problem7", "problem8", "problem9")
+MODULES = (problem1, problem2, problem6, problem7, problem8, problem9)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"skeinflow.llm.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in import_module(f"skeinflow.llm.{m}").ORACLE.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}
