@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinflow.schemas import FLAG_BITS, FLOW_FEATURES, ICMP, TCP
+from skeinflow.session import materialize
 
 
 def endpoint(ip: str, port: str) -> Column:
@@ -94,15 +95,25 @@ def _stats(value: str, name: str, when: Column | None = None, total: bool = True
     return [F.coalesce(c, F.lit(0.0)).alias(f"{name}_{k}") for k, c in parts.items() if total or k != "sum"]
 
 
-def fan_out(packets: DataFrame, window_s: float, suffix: str = "") -> DataFrame:
-    """Per source and tumbling window: distinct destinations, ports and /24 subnets, SYN packets, packets."""
+def contacts(packets: DataFrame, window_s: float) -> DataFrame:
+    """Per source, tumbling window and target (address and port): packets and SYN packets. The base of every fan-out whose window is a multiple of ``window_s``."""
     syn = ((F.col("flags").bitwiseAND(FLAG_BITS["syn"]) > 0) & (F.col("proto") == TCP)).cast("long")
-    return packets.groupBy("src_ip", F.floor(F.col("ts") / window_s).alias("bin")).agg(
+    return packets.groupBy("src_ip", F.floor(F.col("ts") / window_s).alias("bin"), "dst_ip", "dst_port").agg(F.sum(syn).alias("n_syn"), F.count("ts").alias("n_pkts"))
+
+
+def fan_out(packets: DataFrame, window_s: float, suffix: str = "", base: DataFrame | None = None, base_s: float | None = None) -> DataFrame:
+    """Per source and tumbling window: distinct destinations, ports and /24 subnets, SYN packets, packets.
+
+    Counted over the distinct targets of each window (``contacts``), which a source repeats itself in rather than over its packets. ``base`` gives
+    those of a window of ``base_s`` seconds that divides ``window_s``, so that several windows share one pass.
+    """
+    own = contacts(packets, window_s) if base is None else base.withColumn("bin", F.floor(F.col("bin") / round(window_s / base_s)))
+    return own.groupBy("src_ip", "bin").agg(
         F.count_distinct("dst_ip").alias(f"fan_dst_ip{suffix}"),
         F.count_distinct("dst_port").alias(f"fan_dst_port{suffix}"),
         F.count_distinct(F.substring_index("dst_ip", ".", 3)).alias(f"fan_dst_subnet{suffix}"),
-        F.sum(syn).alias(f"fan_syn{suffix}"),
-        F.count("ts").alias(f"fan_pkts{suffix}"),
+        F.sum("n_syn").alias(f"fan_syn{suffix}"),
+        F.sum("n_pkts").alias(f"fan_pkts{suffix}"),
     )
 
 
@@ -112,7 +123,8 @@ def flow_features(flowed: DataFrame, windows: Mapping[str, float] | None = None,
     One aggregation by flow - flows are bounded by the chunk size - after the
     inter-arrival windows, whose partitioning it shares; the two fan-out tables join
     by source and window and are small next to the packets. They are counted over
-    ``packets`` (the input of ``assign_flows``) if given, which spares them the segmentation.
+    ``packets`` (the input of ``assign_flows``) if given, which spares them the segmentation, and from one table of
+    distinct targets for all windows. With other ``windows`` the features of the missing ones are left out.
     """
     order = W.partitionBy("flow_id").orderBy("ts", "seq")
     side = W.partitionBy("flow_id", "is_fwd").orderBy("ts", "seq")
@@ -149,13 +161,17 @@ def flow_features(flowed: DataFrame, windows: Mapping[str, float] | None = None,
             **{f"r_{f}": ratio(c(f"n_{f}"), c("tot_pkts")) for f in FLAG_BITS},
         }
     )
-    for suffix, seconds in (windows or {"": 60.0, "_5s": 5.0}).items():
-        fan = fan_out(packets if packets is not None else flowed, seconds, suffix)
+    windows = windows or {"": 60.0, "_5s": 5.0}
+    least = min(windows.values())
+    shared = materialize(contacts(packets if packets is not None else flowed, least), "flow-contacts") if len(windows) > 1 and all(s % least == 0 for s in windows.values()) else None
+    for suffix, seconds in windows.items():
+        fan = fan_out(packets if packets is not None else flowed, seconds, suffix, shared, least)
         names = [x for x in fan.columns if x not in ("src_ip", "bin")]
         base = base.withColumn("bin", F.floor(c("flow_start_ts") / seconds)).join(fan, ["src_ip", "bin"], "left").drop("bin")
         base = base.withColumns({x: F.coalesce(c(x).cast("double"), F.lit(0.0)) for x in names})
         base = base.withColumn(f"fan_rate_pkts{suffix or '_60s'}", c(f"fan_pkts{suffix}") / seconds)
-    return base.select("flow_id", "label", "src_ip", "dst_ip", "flow_start_ts", *[c(x).cast("double").alias(x) for x in FLOW_FEATURES])
+    known = [x for x in FLOW_FEATURES if x in base.columns]
+    return base.select("flow_id", "label", "src_ip", "dst_ip", "flow_start_ts", *[c(x).cast("double").alias(x) for x in known])
 
 
 def flow_rules() -> list[tuple[str, str, Column]]:

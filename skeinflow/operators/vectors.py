@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,41 +15,59 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2000, keep_self: bool = False) -> DataFrame:
+def _best(known: pd.DataFrame, k: int, key: str) -> pd.DataFrame:
+    """The ``k`` best rows of each query, ties by the smaller id."""
+    order = np.lexsort((known[key].to_numpy(), -np.round(known["cosine"].to_numpy(), 12), known["query"].to_numpy()))
+    known = known.iloc[order]
+    query = known["query"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.array([], dtype=int)
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return known[rank < k]
+
+
+def cosine_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block_bytes: int = 64 << 20, keep_self: bool = False) -> DataFrame:
     """query, key, cosine, rank: the ``k`` most similar rows of each query, exactly.
 
-    Queries are a stated set. They are dealt to blocks of about ``block`` and each
-    block meets every partition of the rows as one matrix product; only a block's
-    ``k`` best of each partition leave it, so no pair beyond k * partitions per query is shuffled. Ties go to
-    the smaller id. Null vectors take no part.
+    Queries are a stated set, taken in blocks of at most ``block_bytes`` of vectors. One block at a time is broadcast
+    and the rows stream past it where they lie, unmoved: a partition keeps the ``k`` best of each query so far, and only those
+    leave it, so no pair beyond k * partitions per query is shuffled. Ties go to
+    the smaller id. Null vectors take no part; ids must be numbers.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    packed = q.groupBy("b").agg(F.collect_list(F.struct("q", "v")).alias("qs"))  # bounded: about ``block`` vectors a row
-    kinds = dict(rows.dtypes)
-    slices = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    parts = rows.where(F.col(vector).isNotNull()).select(key, vector, F.pmod(F.xxhash64(key, F.lit(1)), F.lit(slices)).cast("int").alias("s"))
-    parts = parts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def best(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], key: [], "cosine": []})
-        qs = right["qs"].iloc[0]
-        qid = np.array([x["q"] for x in qs])
-        sim = _unit(np.stack([np.asarray(x["v"], dtype=np.float64) for x in qs])) @ _unit(np.stack([np.asarray(v, dtype=np.float64) for v in left[vector]])).T
-        ids = left[key].to_numpy()
-        if not keep_self:
-            sim[qid[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, sim.shape), -np.round(sim, 12)), axis=1)[:, :k]
-        got = np.take_along_axis(sim, order, axis=1).ravel()
-        out = pd.DataFrame({"query": np.repeat(qid, order.shape[1]), key: ids[order].ravel(), "cosine": got})
-        return out[np.isfinite(out["cosine"])]
-
-    dealt = packed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    local = parts.groupBy("b", "s").cogroup(dealt.groupBy("b", "s")).applyInPandas(best, f"query {kinds[key]}, `{key}` {kinds[key]}, cosine double")
+    known = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v"))
+    size, kinds, spark = known.agg(F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()[0], dict(rows.dtypes), rows.sparkSession
+    schema = f"query {kinds[key]}, `{key}` {kinds[key]}, cosine double"
+    blocks = max(1, -(-size // block_bytes))
+    dealt = known.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+    found = None
+    for b in range(blocks):
+        own = dealt.where(F.col("b") == b).select("q", "v").toPandas()  # bounded by ``block_bytes``
+        if not len(own):
+            continue
+        block = spark.sparkContext.broadcast((own["q"].to_numpy(), _unit(np.stack([np.asarray(v, dtype=np.float64) for v in own["v"]]))))
+
+        def best(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            qid, q = block.value
+            kept = None
+            for batch in batches:
+                if not len(batch):
+                    continue
+                ids = batch[key].to_numpy()
+                sim = q @ _unit(np.stack([np.asarray(v, dtype=np.float64) for v in batch[vector]])).T
+                if not keep_self:
+                    sim[qid[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(qid), -2.0)
+                r, c = np.nonzero(sim >= np.maximum(least, -2.0)[:, None] - 1e-11)
+                fresh = pd.DataFrame({"query": qid[r], key: ids[c], "cosine": sim[r, c]})
+                kept = _best(fresh if kept is None else pd.concat([kept, fresh], ignore_index=True), k, key)
+            if kept is not None:
+                yield kept
+
+        part = rows.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(best, schema)
+        found = part if found is None else found.unionAll(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     w = W.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), key)
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def label_purity(neighbours: DataFrame, labels: DataFrame, key: str = "vec_id", label: str = "label") -> DataFrame:

@@ -37,6 +37,34 @@ def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], measu
     return work
 
 
+#: Ports of the rolling features.
+WEB_PORTS, NAME_PORTS = (80, 443, 8080), (53,)
+WATCHED_PORTS = (20, 21, 22, 23, 25, 53, 80, 110, 143, 443, 445, 3389, 8080)
+#: Rolling counts by pair and by destination: name and the flow feature or protocol code summed.
+_PROTOCOLS, _FLAGS = {"tcp": 0.0, "udp": 1.0, "icmp": 2.0}, ("syn", "ack", "fin", "rst", "psh")
+
+
+def rolling_flow_features(features: DataFrame, rows: int = 350, block: int = 100_000) -> DataFrame:
+    """flow_id and 28 rolling features over the last ``rows`` flows of the flow's host pair and of its destination.
+
+    Sixteen sums (flows by protocol, packets by TCP flag), distinct ports of the pair, two mean durations, seven counts of flows to
+    web, name (twice, as the vector has it) and watched ports, forward and all packets of the destination. Flows come by start, then id;
+    keys of any size are windowed in blocks (see ``rolling_rows``).
+    """
+    c = F.col
+
+    def among(ports: Sequence[int]) -> Column:
+        return c("dst_port").isin([float(p) for p in ports]).cast("double")
+
+    both = {**{f"{n}_flows": (c("proto") == v).cast("double") for n, v in _PROTOCOLS.items()}, **{f"{f}_packets": c(f"n_{f}") for f in _FLAGS}, "web_port": among(WEB_PORTS), "name_port": among(NAME_PORTS), "name_port_2": among(NAME_PORTS)}
+    pair = {f"{n}_pair": ("sum", e) for n, e in both.items()} | {"ports_pair": ("distinct", c("dst_port")), "duration_pair": ("mean", c("dur")), "watched_port_pair": ("sum", among(WATCHED_PORTS))}
+    target = {f"{n}_dst": ("sum", e) for n, e in both.items()} | {"duration_dst": ("mean", c("dur")), "packets_dst": ("sum", c("fwd_pkts")), "all_packets_dst": ("sum", c("tot_pkts"))}
+    order = ["flow_start_ts", "flow_id"]
+    need = features.select("flow_id", "flow_start_ts", "src_ip", "dst_ip", "dst_port", "proto", "dur", "fwd_pkts", "tot_pkts", *[f"n_{f}" for f in _FLAGS])
+    out = rolling_rows(rolling_rows(need, ["src_ip", "dst_ip"], order, pair, rows, block), ["dst_ip"], order, target, rows, block)
+    return out.select("flow_id", *[c(n).cast("double").alias(n) for n in (*pair, *target)])
+
+
 def min_max(value: Column, over: W) -> Column:
     """Scaled to [0, 1] within a window; a constant gives 0."""
     lo, hi = F.min(value).over(over), F.max(value).over(over)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.operators import flows
 from skeinflow.schemas import FLOW_FEATURES
+from skeinflow.session import materialize
 from skeinflow.sources import views
 
 
@@ -14,9 +15,9 @@ def _flowed(spark: SparkSession, d: str, **kw) -> DataFrame:
     return flows.assign_flows(views.packets(spark, d), **kw)
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
-    p = views.packets(spark, d)
-    return flows.flow_features(flows.assign_flows(p), packets=p)
+def _features(spark: SparkSession, d: str, windows: dict[str, float] | None = None) -> DataFrame:
+    p = materialize(views.packets(spark, d), "packets")  # the segmentation and the fan-outs read it
+    return flows.flow_features(flows.assign_flows(p), windows, packets=p)
 
 
 def flow_ids_bidirectional(spark: SparkSession, d: str) -> DataFrame:
@@ -48,12 +49,12 @@ def flow_fanout_short(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flow_rules(spark: SparkSession, d: str) -> DataFrame:
-    out = _features(spark, d).select("flow_id", *[F.round(w, 6).alias(name) for name, _, w in flows.flow_rules()])
+    out = _features(spark, d, {"": 60.0}).select("flow_id", *[F.round(w, 6).alias(name) for name, _, w in flows.flow_rules()])
     return out
 
 
 def flow_consensus(spark: SparkSession, d: str) -> DataFrame:
-    return flows.flow_consensus(_features(spark, d)).select("flow_id", "technique", F.round("weight", 6).alias("weight"))
+    return flows.flow_consensus(_features(spark, d, {"": 60.0})).select("flow_id", "technique", F.round("weight", 6).alias("weight"))
 
 
 def flow_start(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skeinflow.functions import canon
 from skeinflow.operators import flows, graph, vectors, windows
 from skeinflow.plans import sqlkit
+from skeinflow.session import materialize
 from skeinflow.sources import views
 from skeinflow.sources.tables import flow_states, table
 
@@ -207,7 +208,7 @@ def rolling_pair(spark: SparkSession, d: str) -> DataFrame:
         "bytes_350": ("sum", F.col("ip_len")), "payload_350": ("mean", F.col("payload_len")), "ports_350": ("distinct", F.col("dst_port")),
         "dns_350": ("sum", F.col("dst_port").isin(53, 5353).cast("int")),
     }
-    out = windows.rolling_rows(p, ["src_ip", "dst_ip"], ["ts", "seq"], m)
+    out = windows.rolling_rows(p, ["src_ip", "dst_ip"], ["ts", "seq"], m, block=100_000)
     return out.select("seq", "bytes_350", F.round("payload_350", 6).alias("payload_350"), F.col("ports_350").cast("long").alias("ports_350"), "dns_350")
 
 
@@ -215,10 +216,17 @@ def rolling_destination(spark: SparkSession, d: str) -> DataFrame:
     """The same by destination, in blocks: a busy destination is windowed by many tasks."""
     p = views.packets(spark, d)
     m = {"bytes_350": ("sum", F.col("ip_len")), "web_350": ("sum", F.col("dst_port").isin(80, 443, 8080, 8443).cast("int")), "payload_350": ("mean", F.col("payload_len"))}
-    out = windows.rolling_rows(p, ["dst_ip"], ["ts", "seq"], m, block=1024)
+    out = windows.rolling_rows(p, ["dst_ip"], ["ts", "seq"], m, block=100_000)
     return out.select("seq", "bytes_350", "web_350", F.round("payload_350", 6).alias("payload_350"))
 
 
+def rolling_features(spark: SparkSession, d: str) -> DataFrame:
+    """The 28 rolling features of every flow."""
+    p = materialize(views.packets(spark, d), "packets")
+    out = windows.rolling_flow_features(materialize(flows.flow_features(flows.assign_flows(p), {"": 60.0}, packets=p), "flow-features"))
+    return out.select("flow_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "flow_id"])
+
+
 def length_sequence(spark: SparkSession, d: str) -> DataFrame:
     f = flows.assign_flows(views.packets(spark, d))
     seq = windows.length_sequence(f, "flow_id", ["ts", "seq"], F.when(F.col("is_fwd"), F.col("ip_len")).otherwise(-F.col("ip_len")).cast("long"), 8)
@@ -250,7 +258,7 @@ QUERIES = {
     for f in (
         host_ids, label_ids, control_packets, host_tier, flow_host_edges, next_packet, burst_neighbor, parent_edges, tier_edges, reverse_edges, edge_except, fanout_capped, khop_2,
         khop_capped, out_neighbors, local_id_map, edge_softmax, contribution_filter, neighbor_consensus, soft_targets, ema_series, graph_audit, graph_inventory, cosine_topk, knn_purity,
-        centroid_cosine, vector_norms, rolling_pair, rolling_destination, length_sequence, flow_bursts, packet_rank,
+        centroid_cosine, vector_norms, rolling_pair, rolling_destination, rolling_features, length_sequence, flow_bursts, packet_rank,
     )
 }
 
@@ -289,6 +297,11 @@ def _mm(c: str) -> str:
     return f"case when max({c}) over e > min({c}) over e then ({c} - min({c}) over e)::double / (max({c}) over e - min({c}) over e) else 0.0 end"
 
 
+_SUMS = {**{f"{n}_flows": f"(proto = {v})::int" for n, v in {"tcp": 0, "udp": 1, "icmp": 2}.items()}, **{f"{f}_packets": f"n_{f}" for f in ("syn", "ack", "fin", "rst", "psh")}, "web_port": "(dst_port in (80, 443, 8080))::int", "name_port": "(dst_port = 53)::int", "name_port_2": "(dst_port = 53)::int"}
+_ROLLING_SQL = [f"round(sum({e}) over {w[0]}, 6)::double as {n}_{w}" for w in ("pair", "dst") for n, e in _SUMS.items()] + [
+    "count(distinct dst_port) over p::double as ports_pair", "round(avg(dur) over p, 6) as duration_pair", "round(sum((dst_port in (20, 21, 22, 23, 25, 53, 80, 110, 143, 443, 445, 3389, 8080))::int) over p, 6)::double as watched_port_pair",
+    "round(avg(dur) over d, 6) as duration_dst", "round(sum(fwd_pkts) over d, 6) as packets_dst", "round(sum(tot_pkts) over d, 6) as all_packets_dst",
+]
 ORACLE = {
     "host_ids": f"with {_FS}, h as (select src_host as host from st union select dst_host from st) select host, row_number() over (order by host) - 1 as idx from h where host is not null",
     "label_ids": f"with {_FS}, h as (select distinct label from st where label is not null) select label, row_number() over (order by label) - 1 as idx from h",
@@ -321,6 +334,7 @@ ORACLE = {
     "knn_purity": f"with {_COS} select query, round(avg((rk.label = o.label)::int::double), 6) as purity from rk join embeddings o on o.vec_id = rk.query where rank <= 10 group by 1",
     "centroid_cosine": "with x as (select vec_id, label, unnest(range(len(embedding))) as i, embedding from embeddings), c as (select label, i, avg(embedding[i + 1]::double) as m from x group by 1, 2), k as (select label, list(m order by i) as c from c group by 1) select vec_id, e.label, round(list_cosine_similarity(embedding::double[], c), 6) as cosine from embeddings e join k on e.label = k.label",
     "vector_norms": "select vec_id, round(list_sum(embedding::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as total, cast(len(embedding) as integer) as dims from embeddings",
+    "rolling_features": f"with {views.features_sql()} select flow_id, " + ", ".join(_ROLLING_SQL) + f" from feats window p as (partition by src_ip, dst_ip order by flow_start_ts, flow_id {_ROLL}), d as (partition by dst_ip order by flow_start_ts, flow_id {_ROLL})",
     "rolling_pair": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, round(avg(payload_len) over w, 6) as payload_350, cast(count(distinct dst_port) over w as bigint) as ports_350, cast(sum((dst_port in (53, 5353))::int) over w as bigint) as dns_350 from pkt window w as (partition by src_ip, dst_ip order by ts, seq {_ROLL})",
     "rolling_destination": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, cast(sum((dst_port in (80, 443, 8080, 8443))::int) over w as bigint) as web_350, round(avg(payload_len) over w, 6) as payload_350 from pkt window w as (partition by dst_ip order by ts, seq {_ROLL})",
     "length_sequence": f"with {views.flowed_sql()}, r as (select flow_id, case when is_fwd then ip_len else -ip_len end as v, row_number() over (partition by flow_id order by ts, seq) as r from flowed), k as (select flow_id, unnest(range(1, 9)) as r from (select distinct flow_id from flowed)) select k.flow_id, string_agg(coalesce(v, 0)::varchar, ',' order by k.r) as lengths from k left join r on k.flow_id = r.flow_id and k.r = r.r group by 1",

@@ -105,8 +105,9 @@ def test_cosine_top_k(spark):
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     sim = unit @ unit.T
     np.fill_diagonal(sim, -9)
-    for block in (2, 1000):
-        got = vectors.cosine_top_k(df, df.where("vec_id % 5 = 0"), 3, block=block).orderBy("query", "rank").collect()
+    rows = df.repartition(7)
+    for block in (100, 1 << 20):
+        got = vectors.cosine_top_k(rows, df.where("vec_id % 5 = 0"), 3, block_bytes=block).orderBy("query", "rank").collect()
         assert [(r["query"], r["vec_id"]) for r in got] == [(q, int(i)) for q in range(0, 60, 5) for i in np.argsort(-sim[q])[:3]]
 
 
