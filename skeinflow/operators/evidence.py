@@ -189,6 +189,13 @@ def coverage(packets: DataFrame, edges: DataFrame, key: str, label: str, familie
     return out.withColumn("dominant", F.when(best > 0, F.coalesce(*[F.when(F.col(f) == best, F.lit(f)) for f in families])))
 
 
+def dominant_family(mapping: DataFrame, label: str = "label") -> DataFrame:
+    """Per class the family its techniques weigh most in (ties by name), from label, family, map_weight; classes without technique have no row."""
+    mass = mapping.where(F.col("family").isNotNull()).groupBy(label, "family").agg(F.sum("map_weight").alias("mass"))
+    best = F.row_number().over(W.partitionBy(label).orderBy(F.desc("mass"), "family"))
+    return mass.withColumn("_r", best).where("_r = 1").drop("_r")
+
+
 def l1_logistic(rows: DataFrame, tokens: str, label: str, c: float = 0.1, iterations: int = 200, vocabulary: DataFrame | None = None) -> DataFrame:
     """token, label, coef of an L1-penalised multinomial regression on token presence (zero coefficients are left out).
 

@@ -59,6 +59,34 @@ def threshold_sweep(rows: DataFrame, score: str, positive: Column, thresholds: S
     return out.withColumn("precision", F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))).withColumn("recall", F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)))
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], resolution: float = 1000.0) -> DataFrame:
+    """Exact quantiles with linear interpolation per key: keys, prob, value. Values are ranked by many tasks, in buckets of 1/``resolution``, and only those beside a wanted rank are kept."""
+    from skeinflow.operators.ranking import distributed_rank
+
+    ranked = distributed_rank(df.where(F.col(value).isNotNull()).withColumn("_id", F.monotonically_increasing_id()), keys, [value, "_id"], F.floor(F.col(value) * resolution), "_r", "_n")
+    at = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+    low = F.floor(F.col("prob") * (F.col("_n") - 1)) + 1
+    near = ranked.withColumn("prob", at).where((F.col("_r") == low) | (F.col("_r") == F.least(low + 1, "_n")))
+    share = F.col("prob") * (F.col("_n") - 1) - F.floor(F.col("prob") * (F.col("_n") - 1))
+    return near.groupBy(*keys, "prob", "_n").agg(F.min(value).alias("_a"), F.max(value).alias("_b")).select(*keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("value"))
+
+
+def anchor_statistics(edges: DataFrame, packets: DataFrame, flow: str, packet: str, weight: str) -> DataFrame:
+    """Per flow of ``packets`` (flow, packet): n_ev packets with evidence, their share, summed and largest weight; 0 without evidence."""
+    own = edges.join(packets, packet).groupBy(flow).agg(F.count_distinct(packet).alias("n_ev"), F.sum(weight).alias("sum_w"), F.max(weight).alias("max_w"))
+    sizes = packets.groupBy(flow).agg(F.count(F.lit(1)).alias("_n"))
+    both = sizes.join(own, flow, "left").fillna(0, ["n_ev", "sum_w", "max_w"])
+    return both.select(flow, F.col("n_ev").cast("double").alias("n_ev"), (F.col("n_ev") / F.greatest("_n", F.lit(1))).alias("frac_ev"), "sum_w", "max_w")
+
+
+def collect_requests(df: DataFrame, payload: str, most: int = 120) -> DataFrame:
+    """Rows whose payload opens with an HTTP request, with ``line`` (its first line, at most ``most`` characters), ``host`` (its Host header, else empty) and ``body`` (all of it in lower case)."""
+    text = F.decode(F.col(payload), "ISO-8859-1")
+    rows = df.where(text.rlike(HTTP_REQUEST))
+    host = F.trim(F.regexp_extract(text, r"[Hh]ost:\s*([^\r\n]+)", 1))
+    return rows.withColumns({"line": F.substring(F.substring_index(text, "\r\n", 1), 1, most), "host": host, "body": F.lower(text)})
+
+
 def mask_audit(rows: DataFrame, label: str, mask: Column, oracle: Column) -> DataFrame:
     """Per label and in TOTAL: masked rows, true ones among them, true rows, precision and recall."""
     m, o = mask.cast("long"), oracle.cast("long")

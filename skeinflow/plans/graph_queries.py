@@ -237,7 +237,8 @@ def flow_bursts(spark: SparkSession, d: str) -> DataFrame:
     """Per flow its first 32 signed lengths and the burst aggregates over all its packets."""
     f = flows.assign_flows(views.packets(spark, d)).withColumn("signed", F.when(F.col("is_fwd"), F.col("ip_len")).otherwise(-F.col("ip_len")).cast("long"))
     bursts = windows.burst_aggregates(f, "flow_id", ["ts", "seq"], F.col("signed"))
-    return windows.length_sequence(f, "flow_id", ["ts", "seq"], F.col("signed")).join(bursts, "flow_id")
+    both = windows.length_sequence(f, "flow_id", ["ts", "seq"], F.col("signed")).join(bursts, "flow_id")
+    return both.withColumn("sequence", F.array_join("sequence", ",")).withColumns({c: F.round(c, 7) for c in bursts.columns if bursts.schema[c].dataType.typeName() == "double"})
 
 
 def packet_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -297,6 +298,7 @@ def _mm(c: str) -> str:
     return f"case when max({c}) over e > min({c}) over e then ({c} - min({c}) over e)::double / (max({c}) over e - min({c}) over e) else 0.0 end"
 
 
+_BURST = ", ".join(f"round(coalesce({f}({v}), 0.0), 7)::double as {n}_{k}" for n, v in (("fwd", "case when v > 0 then v::double end"), ("bwd", "case when v < 0 then -v::double end"), ("gap", "gap::double")) for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max")))
 _SUMS = {**{f"{n}_flows": f"(proto = {v})::int" for n, v in {"tcp": 0, "udp": 1, "icmp": 2}.items()}, **{f"{f}_packets": f"n_{f}" for f in ("syn", "ack", "fin", "rst", "psh")}, "web_port": "(dst_port in (80, 443, 8080))::int", "name_port": "(dst_port = 53)::int", "name_port_2": "(dst_port = 53)::int"}
 _ROLLING_SQL = [f"round(sum({e}) over {w[0]}, 6)::double as {n}_{w}" for w in ("pair", "dst") for n, e in _SUMS.items()] + [
     "count(distinct dst_port) over p::double as ports_pair", "round(avg(dur) over p, 6) as duration_pair", "round(sum((dst_port in (20, 21, 22, 23, 25, 53, 80, 110, 143, 443, 445, 3389, 8080))::int) over p, 6)::double as watched_port_pair",
@@ -334,6 +336,9 @@ ORACLE = {
     "knn_purity": f"with {_COS} select query, round(avg((rk.label = o.label)::int::double), 6) as purity from rk join embeddings o on o.vec_id = rk.query where rank <= 10 group by 1",
     "centroid_cosine": "with x as (select vec_id, label, unnest(range(len(embedding))) as i, embedding from embeddings), c as (select label, i, avg(embedding[i + 1]::double) as m from x group by 1, 2), k as (select label, list(m order by i) as c from c group by 1) select vec_id, e.label, round(list_cosine_similarity(embedding::double[], c), 6) as cosine from embeddings e join k on e.label = k.label",
     "vector_norms": "select vec_id, round(list_sum(embedding::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as total, cast(len(embedding) as integer) as dims from embeddings",
+    "flow_bursts": f"""with {views.flowed_sql()}, g as (select flow_id, case when is_fwd then ip_len else -ip_len end as v, ts - lag(ts) over w as gap, row_number() over w as r, ts, seq from flowed window w as (partition by flow_id order by ts, seq))
+        select flow_id, array_to_string(list_resize(list(v order by r) filter (where r <= 32), 32, 0), ',') as sequence, count(*) as n_packets, count(*) filter (where v > 0) as fwd_count, coalesce(sum(v) filter (where v > 0), 0)::double as fwd_sum,
+        count(*) filter (where v < 0) as bwd_count, coalesce(-sum(v) filter (where v < 0), 0)::double as bwd_sum, {_BURST} , round(coalesce(sum(v) filter (where v > 0), 0)::double / (coalesce(-sum(v) filter (where v < 0), 0)::double + 1.0), 7) as up_down from g group by 1""",
     "rolling_features": f"with {views.features_sql()} select flow_id, " + ", ".join(_ROLLING_SQL) + f" from feats window p as (partition by src_ip, dst_ip order by flow_start_ts, flow_id {_ROLL}), d as (partition by dst_ip order by flow_start_ts, flow_id {_ROLL})",
     "rolling_pair": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, round(avg(payload_len) over w, 6) as payload_350, cast(count(distinct dst_port) over w as bigint) as ports_350, cast(sum((dst_port in (53, 5353))::int) over w as bigint) as dns_350 from pkt window w as (partition by src_ip, dst_ip order by ts, seq {_ROLL})",
     "rolling_destination": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, cast(sum((dst_port in (80, 443, 8080, 8443))::int) over w as bigint) as web_350, round(avg(payload_len) over w, 6) as payload_350 from pkt window w as (partition by dst_ip order by ts, seq {_ROLL})",

@@ -187,7 +187,7 @@ def report_verification(spark: SparkSession, d: str) -> DataFrame:
 
 def report_claims(spark: SparkSession, d: str) -> DataFrame:
     c = payloads(spark, d).select("label", F.explode(reports.claims("text")).alias("c"))
-    return c.groupBy("label").agg(F.count(F.lit(1)).alias("n_claims"), F.sum(F.col("c").rlike(r"\d").cast("long")).alias("with_numbers"), F.max(F.length("c")).cast("long").alias("longest"))
+    return c.groupBy("label").agg(F.count(F.lit(1)).alias("n_claims"), F.sum(F.col("c").rlike(r"\d").cast("long")).alias("with_numbers"), F.max(F.octet_length("c")).cast("long").alias("longest"))
 
 
 def report_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -334,6 +334,7 @@ ORACLE = {
     "text_endpoints": "with g as (select regexp_extract(text, 'dst=(\\d+\\.\\d+\\.\\d+\\.\\d+) port=(\\d+)', 1) as target, regexp_extract(text, 'dst=(\\d+\\.\\d+\\.\\d+\\.\\d+) port=(\\d+)', 2) as port from documents where text is not null) select target, port, count(*) as n from g where target <> '' group by 1, 2",
     "graph_text": f"with {views.flowed_sql()}, r as (select *, row_number() over (partition by flow_id order by ts, seq) - 1 as r from flowed), t as (select flow_id, 'flow ' || flow_id || chr(10) || string_agg('pkt #' || r || ' len=' || payload_len || ' dir=' || case when is_fwd then 'fwd' else 'bwd' end, chr(10) order by r) as x from r group by 1) select flow_id, length(x) as n_chars, md5(x) as text_md5 from t",
     "report_verification": f"with {_FS}, v as (select src_host as e from st union select dst_host from st union select fid from st), x as (select doc_id, list_concat(regexp_extract_all(text, '\\b(flow_\\w+)', 1), regexp_extract_all(text, '\\b(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})\\b', 1)) as l from documents where text is not null), m as (select distinct doc_id, lower(e) as e from (select doc_id, unnest(l) as e from x)), c as (select m.doc_id, count(*) as n_entities, count(*) filter (where v.e is null) as n_unknown from m left join v on m.e = v.e group by 1) select x.doc_id, coalesce(n_entities, 0) as n_entities, coalesce(n_unknown, 0) as n_unknown, round(coalesce(n_unknown / n_entities, 0.0), 6) as unknown_share from x left join c on x.doc_id = c.doc_id",
+    "node_visits": f"with {_LK}, b as (select src, n from lk union all select dst, n from lk) select src, cast(sum(n) as bigint) as visits from b group by 1",
     "report_metrics": "with i as (select context_id, (context_id % 101) / 100.0::double as f, (context_id % 37) / 100.0::double as w, (context_id % 89) / 100.0::double as o from flow_context), p as (select *, round(f - w, 6) as fp, round(f - o, 6) as fm from i), q as (select *, greatest(least(fp, 1.0), 0.0) as a, greatest(least(1.0 - fm, 1.0), 0.0) as b from p), c as (select *, case when a > 0 and b > 0 then 1.0 / (0.5 / a + 0.5 / b) else 0.0 end as ch from q), h as (select *, greatest(least(f, 1.0), 0.0) as h1, greatest(least(1.0 - w, 1.0), 0.0) as h2, greatest(least(o, 1.0), 0.0) as h3, greatest(least(ch, 1.0), 0.0) as h4 from c) select context_id, round(fp, 6) as fidelity_plus, round(fm, 6) as fidelity_minus, round(ch, 6) as characterization, round(case when least(h1, h2, h3, h4) > 0 then 4.0 / (1.0 / h1 + 1.0 / h2 + 1.0 / h3 + 1.0 / h4) else 0.0 end, 6) as f_star from h",
     "counterfactual_drop": f"with {views.flowed_sql()}, w as (select seq, payload_len::double as v, count(*) over (partition by flow_id) as n, sum(payload_len::double) over (partition by flow_id) as t from flowed) select seq, round(case when n > 1 then t / n - (t - v) / (n - 1) else 0.0 end, 6) as drop from w",
     "pruned_links": f"with {views.flowed_sql()}, b as (select seq, row_number() over (partition by flow_id order by payload_len desc, seq) as r from flowed), k as (select seq from b where r <= 3), e as (select lag(seq) over (partition by flow_id order by ts, seq) as src, seq as dst from flowed) select src, dst from e where src in (select seq from k) and dst in (select seq from k)",

@@ -36,8 +36,9 @@ def typed_sampling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
-    """node_id, split, y and the first 74 features, with gaps as 0."""
-    f = F.transform(F.slice("node_features", 1, 74), lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x.cast("double")))
+    """node_id, split, y and the 79 features; gaps, and the positions that shorter vectors lack, are 0."""
+    at = [F.get("node_features", F.lit(i)) for i in range(79)]
+    f = F.array(*[F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x.cast("double")) for x in at])
     return table(spark, d, "graph_flow").where("flow_y is not null").select("node_id", F.lower(F.trim("split")).alias("split"), F.col("flow_y").cast("double").alias("y"), f.alias("f"))
 
 

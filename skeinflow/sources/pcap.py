@@ -11,9 +11,10 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from skeinflow.schemas import ICMP, OTHER, PACKETS, TCP, UDP
@@ -138,8 +139,53 @@ class _Reader(DataSourceReader):
         yield from read_capture(data, os.path.basename(os.path.dirname(path)), index << 40, self.limit, self.most)
 
 
+def frame(row) -> bytes | None:
+    """The IPv4 datagram of a row of the packet table; a missing payload is zeros. None if a field does not fit the format."""
+    body = bytes(row["payload"]) if row["payload"] is not None else bytes(max(0, row["payload_len"] or 0))
+    ports = (row["src_port"], row["dst_port"])
+    if row["proto"] in (TCP, UDP) and not all(p is not None and 0 <= p < 65536 for p in ports):
+        return None
+    if row["proto"] == TCP:
+        number, head = 6, struct.pack(">HHIIBBHHH", *ports, 0, 0, 0x50, (row["flags"] or 0) & 0xFF, 0, 0, 0)
+    elif row["proto"] == UDP:
+        number, head = 17, struct.pack(">HHHH", *ports, (8 + len(body)) & 0xFFFF, 0)
+    elif row["proto"] == ICMP:
+        number, head = 1, struct.pack(">BBHHH", 8, 0, 0, 0, 0)
+    else:
+        return None
+    total = 20 + len(head) + len(body)
+    ends = [bytes(map(int, row[c].split("."))) for c in ("src_ip", "dst_ip")]
+    return struct.pack(">BBHHHBBH4s4s", 0x45, 0, total, 0, 0, 64, number, 0, *ends) + head + body if total < 65536 else None
+
+
+class _Writer(DataSourceWriter):
+    """Each task writes one classic capture per label, in folders named after the labels; rows that fit no datagram are refused."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        name, files = f"part-{uuid.uuid4().hex}.pcap", {}
+        try:
+            for row in iterator:
+                body = frame(row)
+                if body is None:
+                    raise ValueError(f"no datagram holds packet {row['seq']}: filter ports, protocols and sizes first")
+                label = row["label"] or "unknown"
+                if label not in files:
+                    os.makedirs(os.path.join(self.path, label), exist_ok=True)
+                    files[label] = open(os.path.join(self.path, label, name), "wb")  # noqa: SIM115
+                    files[label].write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, RAW))
+                micros = round(row["ts"] * 1e6)
+                files[label].write(struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(body), len(body)) + body)
+        finally:
+            for f in files.values():
+                f.close()
+        return WriterCommitMessage()
+
+
 class PcapSource(DataSource):
-    """Options: path (file, folder or glob), payloadBytes, maxPackets per file."""
+    """Reading: path (file, folder or glob), payloadBytes, maxPackets per file. Writing (append): path of a folder all executors share."""
 
     @classmethod
     def name(cls) -> str:
@@ -150,3 +196,6 @@ class PcapSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"])

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow.operators.ranking import distributed_rank
+
 VERSION = "v3"
 
 
@@ -37,10 +39,18 @@ def read_splits(spark: SparkSession, path: str, protocol: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("protocol") == protocol).select("split", "flow_id")
 
 
-def append_log(df: DataFrame, path: str, ts: str = "ts", shard_hours: int = 1) -> None:
-    """Append rows as JSON lines in shards by event time (folder ``shard=yyyymmddThhZ``)."""
+def append_log(df: DataFrame, path: str, ts: str = "ts", shard_hours: int = 1, most_rows: int | None = None, key: str | None = None) -> None:
+    """Append rows as JSON lines in shards by event time (folder ``shard=yyyymmddThhZ``).
+
+    With ``most_rows`` a shard is sealed at that many rows, in order of time and ``key`` (unique), and the next ones go to ``-0001`` and so on.
+    """
     start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / (3600 * shard_hours)) * 3600 * shard_hours)
-    df.withColumn("shard", F.date_format(start, "yyyyMMdd'T'HH'Z'")).write.mode("append").partitionBy("shard").json(path)
+    rows = df.withColumn("shard", F.date_format(start, "yyyyMMdd'T'HH'Z'"))
+    if most_rows:
+        ranked = distributed_rank(rows, ["shard"], [ts, key], F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 60), "_rank", "_all")
+        part = F.floor((F.col("_rank") - 1) / most_rows)
+        rows = ranked.withColumn("shard", F.when(part > 0, F.concat_ws("-", "shard", F.lpad(part.cast("string"), 4, "0"))).otherwise(F.col("shard"))).drop("_rank", "_all")
+    rows.write.mode("append").partitionBy("shard").json(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: str, since: str | None = None) -> DataFrame:

@@ -24,12 +24,18 @@ def stream_sessions(events: DataFrame, key: str, ts: str, gap: str, delay: str,
     return s.select(key, F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n_events", "total")
 
 
-def stream_fan_out(packets: DataFrame, window: str, delay: str) -> DataFrame:
-    """Packets, SYN packets and approximate distinct targets per source and tumbling window (exact distinct sets have no bounded state)."""
+def stream_fan_out(packets: DataFrame, window: str, delay: str, approximate: bool = False) -> DataFrame:
+    """Packets, SYN packets and distinct targets per source and tumbling window, exactly unless ``approximate``.
+
+    The exact form first counts per target, so its state is one row per source, window and target until the watermark
+    closes the window, and then counts those rows; the approximate one holds a sketch per source and window.
+    """
     timed = packets.withWatermark("at", delay)
-    return timed.groupBy("src_ip", F.window("at", window)).agg(
-        F.count(F.lit(1)).alias("n_packets"), F.sum((F.col("flags").bitwiseAND(2) > 0).cast("long")).alias("n_syn"), F.approx_count_distinct("dst_ip").alias("n_targets")
-    )
+    syn = F.sum((F.col("flags").bitwiseAND(2) > 0).cast("long"))
+    if approximate:
+        return timed.groupBy("src_ip", F.window("at", window)).agg(F.count(F.lit(1)).alias("n_packets"), syn.alias("n_syn"), F.approx_count_distinct("dst_ip").alias("n_targets"))
+    each = timed.groupBy("src_ip", "dst_ip", F.window("at", window)).agg(F.count(F.lit(1)).alias("n"), syn.alias("s"))
+    return each.groupBy("src_ip", F.window("window", window)).agg(F.sum("n").alias("n_packets"), F.sum("s").alias("n_syn"), F.count(F.lit(1)).alias("n_targets"))
 
 
 def enrich(stream: DataFrame, static: DataFrame, on: str) -> DataFrame:
