@@ -145,7 +145,7 @@ _C = r"\[(?:E_[A-Z]+_\d{3}|E_ALERT|E_FLOW_\d{3})\]"
 
 def _cut(t: str, after: bool) -> str:
     """Sentences: a citation after a full stop is held to it by one mark, then blanks after full stops become another."""
-    held = f"regexp_replace(trim({t}), '([.!?])\\s+({_C})', '\\1' || chr(57344) || '\\2', 'g')"
+    held = f"regexp_replace(regexp_replace({t}, '^ +| +$', '', 'g'), '([.!?])\\s+({_C})', '\\1' || chr(57344) || '\\2', 'g')"
     stops = r"([.!?\]])\s+" if after else r"([.!?])\s+"
     return f"list_filter(list_transform(string_split(regexp_replace({held}, '{stops}', '\\1' || chr(57345), 'g'), chr(57345)), lambda s: replace(s, chr(57344), ' ')), lambda s: s <> '')"
 
