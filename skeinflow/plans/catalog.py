@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("core_problems", "flow_queries", "eval_queries", "text_queries", "graph_queries", "label_queries", "stream_queries", "model_queries", "extra_queries", "store_queries", "audit_queries")
+MODULES = ("core_problems", "flow_queries", "eval_queries", "text_queries", "graph_queries", "label_queries", "stream_queries", "model_queries", "extra_queries", "store_queries", "audit_queries", "training_queries")
 
 
 def queries() -> dict:

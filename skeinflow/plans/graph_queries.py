@@ -170,6 +170,12 @@ def graph_audit(spark: SparkSession, d: str) -> DataFrame:
         ("vector length", "error", g, F.size("node_features").isin(74, 79)),
         ("source host", "warning", s, F.col("src_host").isNotNull()),
         ("ordered interval", "error", s.where("start_ms is not null"), F.col("end_ms") >= F.col("start_ms")),
+        ("no infinite feature", "error", g, F.forall("node_features", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(True)) | F.isnan(x))),
+        ("ten classes or more", "warning", g.agg(F.count_distinct("flow_y").alias("n")), F.col("n") >= 10),
+        ("nodes in every split", "error", table(spark, d, "split_plan").join(g.groupBy(F.lower(F.trim("split")).alias("split_name")).agg(F.count(F.lit(1)).alias("n")), "split_name", "left"), F.col("n") > 0),
+        ("each node once", "error", g.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")), F.col("n") == 1),
+        ("flow in packets", "warning", s.where("fid is not null").select("fid").distinct().join(table(spark, d, "packet_event").select(canon.flow_id("flow_id").alias("fid"), F.lit(1).alias("n")).distinct(), "fid", "left"), F.col("n") == 1),
+        ("five flow ids a family", "warning", table(spark, d, "traffic_class").where("family is not null").join(s, "label").groupBy("family").agg(F.count_distinct("fid").alias("n")), F.col("n") >= 5),
     ])
 
 
@@ -298,7 +304,7 @@ def _mm(c: str) -> str:
     return f"case when max({c}) over e > min({c}) over e then ({c} - min({c}) over e)::double / (max({c}) over e - min({c}) over e) else 0.0 end"
 
 
-_BURST = ", ".join(f"round(coalesce({f}({v}), 0.0), 7)::double as {n}_{k}" for n, v in (("fwd", "case when v > 0 then v::double end"), ("bwd", "case when v < 0 then -v::double end"), ("gap", "gap::double")) for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max")))
+_BURST_STATS = ", ".join(f"round(coalesce({f}({v}), 0.0), 7)::double as {n}_{k}" for n, v in (("fwd", "case when v > 0 then v::double end"), ("bwd", "case when v < 0 then -v::double end"), ("gap", "gap::double")) for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max")))
 _SUMS = {**{f"{n}_flows": f"(proto = {v})::int" for n, v in {"tcp": 0, "udp": 1, "icmp": 2}.items()}, **{f"{f}_packets": f"n_{f}" for f in ("syn", "ack", "fin", "rst", "psh")}, "web_port": "(dst_port in (80, 443, 8080))::int", "name_port": "(dst_port = 53)::int", "name_port_2": "(dst_port = 53)::int"}
 _ROLLING_SQL = [f"round(sum({e}) over {w[0]}, 6)::double as {n}_{w}" for w in ("pair", "dst") for n, e in _SUMS.items()] + [
     "count(distinct dst_port) over p::double as ports_pair", "round(avg(dur) over p, 6) as duration_pair", "round(sum((dst_port in (20, 21, 22, 23, 25, 53, 80, 110, 143, 443, 445, 3389, 8080))::int) over p, 6)::double as watched_port_pair",
@@ -330,7 +336,13 @@ ORACLE = {
         select node, support, round(confidence, 6) as confidence, round(greatest(0.2, least(1.0, confidence)), 6) as weight,
         round(case when class_id in (7, 8, 9, 10) and support = 0 then pow(greatest(1e-8, least(1.0, po / greatest(po + pb, 1e-12))), 0.7::double) * pow(greatest(1e-8, least(1.0, consensus)), 1 - 0.7::double) else 1.0 end, 6) as beta from c""",
     "ema_series": "with recursive e as (select user_id, strftime(ts, '%Y-%m-%d') as day, round(sum(value), 4) as value from events group by 1, 2), n as (select *, row_number() over (partition by user_id order by day) as r from e), m as (select user_id, day, r, value as ema from n where r = 1 union all select n.user_id, n.day, n.r, m.ema * 0.9::double + n.value * (1 - 0.9::double) from m join n on n.user_id = m.user_id and n.r = m.r + 1) select user_id, day, round(ema, 6) as ema from m",
-    "graph_audit": f"with {_FS}, g as (select 'label in range' as gate, 'error' as severity, count(*) filter (where flow_y is null or flow_y not between 0 and 13) as n_bad from graph_flow union all select 'known version', 'error', count(*) filter (where artifact_version is null or artifact_version not in ('v2', 'v3')) from graph_flow union all select 'vector length', 'error', count(*) filter (where node_features is null or len(node_features) not in (74, 79)) from graph_flow union all select 'source host', 'warning', count(*) filter (where src_host is null) from st union all select 'ordered interval', 'error', count(*) filter (where end_ms < start_ms) from st) select *, n_bad = 0 as ok from g",
+    "graph_audit": f"""with {_FS}, pe as (select {sqlkit.flow_id('flow_id')} as pf from packet_event), g as (select 'label in range' as gate, 'error' as severity, count(*) filter (where flow_y is null or flow_y not between 0 and 13) as n_bad from graph_flow union all select 'known version', 'error', count(*) filter (where artifact_version is null or artifact_version not in ('v2', 'v3')) from graph_flow union all select 'vector length', 'error', count(*) filter (where node_features is null or len(node_features) not in (74, 79)) from graph_flow union all select 'source host', 'warning', count(*) filter (where src_host is null) from st union all select 'ordered interval', 'error', count(*) filter (where end_ms < start_ms) from st
+        union all select 'no infinite feature', 'error', count(*) filter (where node_features is null or len(list_filter(node_features, lambda x: isinf(x))) > 0) from graph_flow
+        union all select 'ten classes or more', 'warning', (count(distinct flow_y) < 10)::int from graph_flow
+        union all select 'nodes in every split', 'error', count(*) filter (where split_name not in (select lower(trim(split)) from graph_flow where split is not null)) from split_plan
+        union all select 'each node once', 'error', count(*) from (select node_id from graph_flow group by 1 having count(*) > 1)
+        union all select 'flow in packets', 'warning', count(*) from (select distinct fid from st where fid is not null and fid not in (select pf from pe where pf is not null))
+        union all select 'five flow ids a family', 'warning', count(*) from (select family from traffic_class t join st on st.label = t.label where family is not null group by 1 having count(distinct fid) < 5)) select *, n_bad = 0 as ok from g""",
     "graph_inventory": f"with {_FS} select 'flows' as item, count(*) as n from st union all select 'sources', count(distinct src_host) from st union all select 'targets', count(distinct dst_host) from st union all select 'flow_ids', count(distinct fid) from st",
     "cosine_topk": f"with {_COS} select query, vec_id, round(c, 6) as cosine, rank from rk where rank <= 10",
     "knn_purity": f"with {_COS} select query, round(avg((rk.label = o.label)::int::double), 6) as purity from rk join embeddings o on o.vec_id = rk.query where rank <= 10 group by 1",
@@ -338,7 +350,7 @@ ORACLE = {
     "vector_norms": "select vec_id, round(list_sum(embedding::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as total, cast(len(embedding) as integer) as dims from embeddings",
     "flow_bursts": f"""with {views.flowed_sql()}, g as (select flow_id, case when is_fwd then ip_len else -ip_len end as v, ts - lag(ts) over w as gap, row_number() over w as r, ts, seq from flowed window w as (partition by flow_id order by ts, seq))
         select flow_id, array_to_string(list_resize(list(v order by r) filter (where r <= 32), 32, 0), ',') as sequence, count(*) as n_packets, count(*) filter (where v > 0) as fwd_count, coalesce(sum(v) filter (where v > 0), 0)::double as fwd_sum,
-        count(*) filter (where v < 0) as bwd_count, coalesce(-sum(v) filter (where v < 0), 0)::double as bwd_sum, {_BURST} , round(coalesce(sum(v) filter (where v > 0), 0)::double / (coalesce(-sum(v) filter (where v < 0), 0)::double + 1.0), 7) as up_down from g group by 1""",
+        count(*) filter (where v < 0) as bwd_count, coalesce(-sum(v) filter (where v < 0), 0)::double as bwd_sum, {_BURST_STATS} , round(coalesce(sum(v) filter (where v > 0), 0)::double / (coalesce(-sum(v) filter (where v < 0), 0)::double + 1.0), 7) as up_down from g group by 1""",
     "rolling_features": f"with {views.features_sql()} select flow_id, " + ", ".join(_ROLLING_SQL) + f" from feats window p as (partition by src_ip, dst_ip order by flow_start_ts, flow_id {_ROLL}), d as (partition by dst_ip order by flow_start_ts, flow_id {_ROLL})",
     "rolling_pair": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, round(avg(payload_len) over w, 6) as payload_350, cast(count(distinct dst_port) over w as bigint) as ports_350, cast(sum((dst_port in (53, 5353))::int) over w as bigint) as dns_350 from pkt window w as (partition by src_ip, dst_ip order by ts, seq {_ROLL})",
     "rolling_destination": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, cast(sum((dst_port in (80, 443, 8080, 8443))::int) over w as bigint) as web_350, round(avg(payload_len) over w, 6) as payload_350 from pkt window w as (partition by dst_ip order by ts, seq {_ROLL})",
