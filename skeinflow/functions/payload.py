@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote_to_bytes
 
@@ -75,19 +76,23 @@ def tokens(payload: str, cap: int | None = 200, kinds: tuple[str, ...] = KINDS)
     return run(payload)
 
 
-def token_rows(df: DataFrame, keep: Sequence[str], payload: str, cap: int | None = None, kinds: tuple[str, ...] = KINDS, chunk: int = 200_000) -> DataFrame:
-    """``keep`` columns and ``token``, one row per distinct token of a payload (see ``tokens``).
+def token_rows(df: DataFrame, keep: Sequence[str], payload: str, cap: int | None = None, kinds: tuple[str, ...] = KINDS, only: frozenset[str] | None = None, chunk: int = 200_000) -> DataFrame:
+    """``keep`` columns and ``token``, one row per distinct token of a payload (see ``tokens``), of those in ``only`` if given (a model's vocabulary).
 
     Rows leave in batches of about ``chunk``, however long the payloads are, so memory is bounded by the longest one.
     """
     cols, types = list(keep), dict(df.dtypes)
+    wanted = None if only is None else df.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if wanted is None else wanted.value
         for b in batches:
             rows: list[int] = []
             found: list[str] = []
             for i, raw in enumerate(b.column("_payload")):
                 own = token_list(raw.as_py(), cap, kinds)
+                if known is not None:
+                    own = [t for t in own if t in known]
                 rows += [i] * len(own)
                 found += own
                 if found and (len(found) >= chunk or i + 1 == b.num_rows):  # the last one may have no token of its own
@@ -99,6 +104,34 @@ def token_rows(df: DataFrame, keep: Sequence[str], payload: str, cap: int | None
     return df.select(*cols, F.col(payload).alias("_payload")).mapInArrow(run, schema)
 
 
+def token_counts(df: DataFrame, label: str, payload: str, kinds: tuple[str, ...] = KINDS, most: int = 500_000) -> DataFrame:
+    """token, ``label`` (a string), n: payloads that hold a token, by label. Counted in the worker first, at most ``most`` tokens at a time, so a token that all payloads share leaves once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str | None, Counter] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, c in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([name] * len(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["token", label, "n"])
+            counts.clear()
+
+        for b in batches:
+            for name, raw in zip(b.column(label), b.column("_payload"), strict=True):
+                own = token_list(raw.as_py(), None, kinds)
+                counts.setdefault(name.as_py(), Counter()).update(own)
+                held += len(own)
+                if held >= 4 * most:
+                    held = sum(map(len, counts.values()))
+                    if held >= most:
+                        yield from flush()
+                        held = 0
+        yield from flush()
+
+    parts = df.select(F.col(label).cast("string").alias(label), F.col(payload).alias("_payload")).mapInArrow(run, f"token string, `{label}` string, n long")
+    return parts.groupBy("token", label).agg(F.sum("n").alias("n"))
+
+
 def byte_values(payload: str) -> Column:
     """The bytes as an array of 0..255."""
     places = F.sequence(F.lit(1), F.length(payload))

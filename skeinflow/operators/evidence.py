@@ -88,6 +88,14 @@ def family_specific(table: DataFrame, tau: float) -> DataFrame:
     return rows.where(F.col("_f") >= tau * F.col("_m")).drop("_f", "_m")
 
 
+def vocabulary(table: DataFrame, most: int = 5_000_000) -> frozenset[str]:
+    """The tokens of a token table, which is a model: more than ``most``, counted first, are refused rather than sent to the workers."""
+    tokens = table.select("token").where("token is not null").distinct()
+    if tokens.count() > most:
+        raise ValueError(f"more than {most} tokens in the table; raise class or global support")
+    return frozenset(r["token"] for r in tokens.collect())
+
+
 def pmi_hits(tokens: DataFrame, key: str, table: DataFrame) -> DataFrame:
     """key, technique, family, weight: summed token weights, at most 1 (negative sums are kept). ``tokens`` has one row per key and token."""
     hits = tokens.select(key, "token").join(table, "token")

@@ -35,10 +35,10 @@ def fit_table(
     """
     sample = stratified_subsample(packets.where("label is not null").select(key, "label", "payload"), "label", key, seed, per_class)
     sample = materialize(sample.withColumn("_id", F.monotonically_increasing_id()), "pmi-sample")
-    tokens = materialize(P.token_rows(sample, ["_id", "label"], "payload"), "pmi-tokens")
     classes = sample.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
-    counts = E.token_class_counts(tokens)
+    counts = materialize(P.token_counts(sample, "label", "payload").withColumnRenamed("n", "n_tc"), "pmi-counts")
     candidates = materialize(E.pmi_candidates(counts, classes, "label", pmi_min, global_support, class_support), "pmi-candidates")
+    tokens = P.token_rows(sample, ["_id"], "payload", only=E.vocabulary(candidates))
     coefs = materialize(E.l1_logistic(presence_rows(sample.select("_id", "label"), tokens, "_id", candidates), "tokens", "label", c, iterations, candidates), "pmi-coefs")
     projected = materialize(E.project_to_techniques(coefs, mapping, floor), "pmi-projected")
     table = E.family_specific(projected, tau)

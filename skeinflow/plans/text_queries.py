@@ -10,14 +10,14 @@ from skeinflow.functions import payload as P
 from skeinflow.operators import evidence as E
 from skeinflow.operators.pmi_training import fit_table, presence_rows
 from skeinflow.plans import sqlkit
-from skeinflow.session import materialize
+from skeinflow.session import materialize, spread
 from skeinflow.sources.tables import table
 
 
 def payloads(spark: SparkSession, d: str) -> DataFrame:
     """Documents as payloads: doc_id, label (their kind), flow (canonical flow id), text and its UTF-8 bytes."""
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
-    return docs.select("doc_id", canon.label("kind", "none").alias("label"), canon.flow_id("flow_id").alias("flow"), "text", F.encode("text", "UTF-8").alias("payload"))
+    return spread(docs.select("doc_id", canon.label("kind", "none").alias("label"), canon.flow_id("flow_id").alias("flow"), "text")).withColumn("payload", F.encode("text", "UTF-8"))
 
 
 def tokens_capped(spark: SparkSession, d: str) -> DataFrame:
@@ -26,8 +26,8 @@ def tokens_capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _supported(spark: SparkSession, d: str, kind: str, least: int) -> DataFrame:
-    rows = P.token_rows(payloads(spark, d), [], "payload", kinds=(kind,))
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
+    rows = P.token_counts(payloads(spark, d), "label", "payload", (kind,))
+    return rows.groupBy("token").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= least)
 
 
 def token_b4(spark: SparkSession, d: str) -> DataFrame:
@@ -83,9 +83,14 @@ def payload_signatures(spark: SparkSession, d: str) -> DataFrame:
     return E.payload_signatures(payloads(spark, d), "doc_id", "payload").select("doc_id", "technique", F.round("weight", 6).alias("weight"))
 
 
-def all_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, label, token: every byte gram and text token of every document, none cut off."""
-    return P.token_rows(payloads(spark, d), ["doc_id", "label"], "payload")
+def counted_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """token, label, n_tc over every byte gram and text token of every document, none cut off."""
+    return P.token_counts(payloads(spark, d), "label", "payload").withColumnRenamed("n", "n_tc")
+
+
+def table_tokens(spark: SparkSession, d: str, table: DataFrame) -> DataFrame:
+    """doc_id, token: the tokens of every document that a token table knows. The table is the model, so its vocabulary may go to the workers."""
+    return P.token_rows(payloads(spark, d), ["doc_id"], "payload", only=E.vocabulary(table))
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
@@ -93,11 +98,11 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return E.pmi_candidates(E.token_class_counts(all_tokens(spark, d)), _classes(spark, d))
+    return E.pmi_candidates(counted_tokens(spark, d), _classes(spark, d))
 
 
 def pmi_counts(spark: SparkSession, d: str) -> DataFrame:
-    return E.token_class_counts(all_tokens(spark, d))
+    return counted_tokens(spark, d)
 
 
 def pmi_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +162,8 @@ def _consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    pmi = E.pmi_hits(all_tokens(spark, d), "doc_id", family_filter(spark, d))
+    weights = materialize(family_filter(spark, d), "token-table")
+    pmi = E.pmi_hits(table_tokens(spark, d, weights), "doc_id", weights)
     literals = E.literal_weights(_hits(spark, d), "doc_id", dictionary(spark, d))
     families = table(spark, d, "traffic_class").where("technique_id is not null").select(F.col("technique_id").alias("technique"), "family")
     return E.vote(pmi, literals, _consensus(spark, d), families, "doc_id")
@@ -190,14 +196,16 @@ def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def pmi_provenance(spark: SparkSession, d: str) -> DataFrame:
     """The matched tokens of each document and technique, with their number and their digest in order."""
-    m = E.pmi_provenance(all_tokens(spark, d), "doc_id", family_filter(spark, d))
+    weights = materialize(family_filter(spark, d), "token-table")
+    m = E.pmi_provenance(table_tokens(spark, d, weights), "doc_id", weights)
     return m.select("doc_id", "technique", F.size("matched").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("matched", lambda x: x["token"]), " ").cast("binary")).alias("tokens_md5"))
 
 
 def l1_logistic_pmi(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of every PMI candidate, whatever its frequency."""
     candidates = materialize(_candidates(spark, d), "l1-candidates")
-    return E.l1_logistic(presence_rows(payloads(spark, d).select("doc_id", "label"), all_tokens(spark, d), "doc_id", candidates), "tokens", "label", vocabulary=candidates)
+    rows = presence_rows(payloads(spark, d).select("doc_id", "label"), table_tokens(spark, d, candidates), "doc_id", candidates)
+    return E.l1_logistic(rows, "tokens", "label", vocabulary=candidates)
 
 
 def l1_projection(spark: SparkSession, d: str) -> DataFrame:

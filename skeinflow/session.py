@@ -51,6 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, dealt to all of them: a small file of texts is otherwise read and worked on by one task.
+
+    Larger scans stay as they are, so nothing that fills the cluster is shuffled. ``df`` must not stand on a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers of the session, once, so that they need no path of their own to it."""
     sc = spark.sparkContext

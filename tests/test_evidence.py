@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,13 @@ def test_token_rows_are_the_lists(spark):
     assert got == {i: t for i, r in enumerate(raws) if (t := P.token_list(r, None))}
     assert P.token_list(b"ab cd ab", 3) == ["b4:61622063", "b4:62206364", "b4:20636420"] and P.token_list(b"ab cd ab", None, ("t",)) == ["t:ab", "t:cd"]
     assert P.token_rows(df.limit(0), ["k"], "p").count() == 0
+    some = P.token_rows(df, ["k"], "p", only=frozenset({"b4:41414141", "t:get"})).collect()
+    assert sorted((r["k"], r["token"]) for r in some) == [(2, "t:get"), (5, "b4:41414141")]
+    counted = {(r["token"], r["token_of"]): r["n"] for r in P.token_counts(df.withColumnRenamed("token", "token_of"), "token_of", "p", most=3).collect()}
+    want = Counter(t for r in raws for t in P.token_list(r, None))
+    assert counted == {(t, "x"): n for t, n in want.items()}
+    with pytest.raises(ValueError):
+        E.vocabulary(spark.createDataFrame([("a",), ("b",)], "token string"), 1)
 
 
 def test_provenance_lists_tokens_by_weight(spark):
