@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinflow.functions import canon
@@ -52,7 +53,20 @@ def p6_merged(spark: SparkSession, d: str) -> DataFrame:
     return radix.read(radix.merge(_day_states(spark, d), GROUPS), GROUPS, PROBS)
 
 
-QUERIES = {f.__name__: f for f in (p6_percentiles, p6_merged)}
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of single days, and how many of them lie farther from the exact nearest-rank value than the stated error; its twin holds what must come out."""
+    own = [*GROUPS, "day"]
+    values = measurements(spark, d).where(F.col("day").isNotNull())
+    single = radix.read(radix.state(values, own), own, PROBS)
+    ranked = values.withColumn("_r", F.row_number().over(W.partitionBy(*own).orderBy("value")))
+    cells = single.withColumn("_r", F.greatest(F.lit(1), F.ceil(F.col("prob") * F.col("n_values")))).alias("a")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own] + [F.col("a._r") == F.col("b._r")]
+    exact = cells.join(ranked.withColumnRenamed("value", "exact").alias("b"), same, "left")
+    off = ~F.coalesce(F.abs(F.col("a.value") - F.col("exact")) <= F.col("max_relative_error") * F.abs("exact"), F.lit(False))
+    return exact.groupBy(F.col("a.metric").alias("metric")).agg(F.count(F.lit(1)).alias("n_percentiles"), F.count_if(off).alias("n_beyond_error"))
+
+
+QUERIES = {f.__name__: f for f in (p6_percentiles, p6_merged, p6_check)}
 
 _ok = "{0} is not null and not isnan({0}) and not isinf({0}) and {0} <> -1"
 _VALUES = f"""
@@ -87,6 +101,7 @@ select cast(dt as varchar) as day, metric, label, stat_key, n as n_values, prob,
 from {_ranked('metric, label, stat_key, dt')}, probs where dt is not null and r = greatest(1, ceil(prob * n))
 union all
 select null, metric, label, stat_key, n, prob, value, 0.0::double from {_ranked('metric, label, stat_key')}, probs where r = greatest(1, ceil(prob * n))""",
+    "p6_check": _VALUES + f"select metric, count(*) as n_percentiles, 0::bigint as n_beyond_error from (select distinct metric, label, stat_key, dt from vals where dt is not null), (select unnest([{', '.join(f'{p}::double' for p in PROBS)}]) as p) group by 1",
     "p6_merged": _VALUES + f"""
 select metric, label, stat_key, n as n_values, prob, {_middle('value')} as value, {radix.RELATIVE_ERROR}::double as max_relative_error
 from {_ranked('metric, label, stat_key')}, probs where r = greatest(1, ceil(prob * n))""",

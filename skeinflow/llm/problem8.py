@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from skeinflow.llm.containers import broken_rules, fill_report, pack_each
 from skeinflow.llm.tokens import count_tokens
-from skeinflow.session import materialize
+from skeinflow.session import materialize, spread
 from skeinflow.sources.tables import table
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(count_tokens(table(spark, d, "documents")), "document-sizes")
+    return materialize(count_tokens(spread(table(spark, d, "documents").select("doc_id", "text"))), "document-sizes")
 
 
 def _budgets(spark: SparkSession, d: str) -> DataFrame:
