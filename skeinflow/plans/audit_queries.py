@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import canon
-from skeinflow.operators import evidence, flows, labels, reports
+from skeinflow.operators import evidence, flows, labels, metrics, reports, splits
 from skeinflow.plans import sqlkit
 from skeinflow.plans.flow_queries import CONSENSUS_SQL, RULES_SQL
+from skeinflow.plans.graph_queries import _LK, _links
+from skeinflow.plans.model_queries import feature_rows
 from skeinflow.plans.stream_queries import _drain, _streamed
 from skeinflow.plans.text_queries import _ED, _edges, class_map, payloads
 from skeinflow.session import materialize, scratch
@@ -133,10 +135,59 @@ def stream_hot_flows(spark: SparkSession, d: str) -> DataFrame:
     return _drain(spark, hot_flows(p, 3_600_000, 5), "stream-hot")
 
 
+def sparsity_scores(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("context_id")
+    return table(spark, d, "flow_context").select("context_id", F.round(reports.sparsity(i % 7, i % 13), 6).alias("sparsity"))
+
+
+def technique_drops(spark: SparkSession, d: str) -> DataFrame:
+    """Counterfactual drops of the packets of flows, summed by the techniques of the flows' rules."""
+    p = materialize(views.packets(spark, d), "packets")
+    f = materialize(flows.assign_flows(p), "flowed")
+    drops = reports.leave_one_out(f.withColumn("v", F.col("payload_len").cast("double")), "flow_id", "v")
+    rules = flows.flow_consensus(flows.flow_features(f, {"": 60.0}, packets=p)).select("flow_id", "technique")
+    out = reports.drop_per_technique(drops.withColumn("drop", F.abs("drop")), f.select("seq", "flow_id").join(rules, "flow_id"))
+    return out.withColumn("drop", F.round("drop", 4))
+
+
+def standardized(spark: SparkSession, d: str) -> DataFrame:
+    """Packets of flow contexts less their mean, over their deviation."""
+    c = table(spark, d, "flow_context").where("packet_count is not null").select("context_id", F.col("packet_count").cast("double").alias("packets"))
+    stats = {r["feature"]: (r["mean"], r["std"]) for r in splits.scaling(c, ["packets"]).collect()}
+    return splits.standardize(c, ["packets"], stats).withColumn("packets", F.round("packets", 6))
+
+
+def adjacency_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of ten hosts read from a sorted store of all edges."""
+    path = scratch(spark, "adjacency")
+    e = materialize(_links(spark, d), "host-links")
+    stores.write_adjacency(e.select(F.lit("talks").alias("rel"), "src", "dst", "n"), path)
+    hosts = [r["src"] for r in e.select("src").distinct().orderBy("src").limit(10).collect()]
+    return stores.neighbours_of(spark, path, "talks", hosts).select("src", "dst", "n")
+
+
+def pending_items(spark: SparkSession, d: str) -> DataFrame:
+    """Flow ids of records that no context covers yet: what a resumed run has to do."""
+    todo = table(spark, d, "flow_state").select(canon.flow_id("flow_id").alias("fid")).where("fid is not null").distinct()
+    return stores.pending(todo, table(spark, d, "flow_context").select(canon.flow_id("flow_id").alias("fid")), "fid")
+
+
+def baseline_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees that tell attacks from benign flows by their vectors: fitted on the train split, scored on the others."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = feature_rows(spark, d).withColumns({"v": array_to_vector("f"), "attack": (F.col("y") > 0).cast("double")})
+    model = GBTClassifier(featuresCol="v", labelCol="attack", maxIter=20, maxDepth=4, stepSize=0.3, seed=1).fit(rows.where("split = 'train'"))
+    got = model.transform(rows.where("split <> 'train'")).select("split", F.col("attack").cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
+    return metrics.summary(metrics.scores(metrics.class_counts(got, "t", "p", ["split"])), ["split"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         report_validation, json_rows, request_collection, request_targets, anchor_statistics, anchor_quantiles, anchor_thresholds, class_families, row_graphs, bundle_parts, log_sealed, stream_hot_flows,
+        sparsity_scores, technique_drops, standardized, adjacency_stored, pending_items, baseline_boosted,
     )
 }
 
@@ -181,6 +232,12 @@ ORACLE = {
         grounding_rate, n_unknown_entities, n_overclaims, caution_pass, safety_pass, grounding_rate >= 0.9 and n_unknown_entities = 0 and n_overclaims = 0 and caution_pass and safety_pass as overall_pass from z left join v on v.doc_id = z.doc_id""",
     "report_claims": f"""with x as (select coalesce(nullif(lower(trim(kind)), ''), 'none') as label, unnest({_cut('text', False)}) as c from documents where text is not null)
         select label, count(*) as n_claims, cast(sum(regexp_matches(c, '[0-9]')::int) as bigint) as with_numbers, max(strlen(c)) as longest from x group by 1""",
+    "sparsity_scores": "select context_id, round(case when context_id % 13 = 0 then 0.0 else 1.0::double - least(context_id % 7, context_id % 13)::double / (context_id % 13) end, 6) as sparsity from flow_context",
+    "technique_drops": f"""{_FL}, {RULES_SQL}, {CONSENSUS_SQL}, b as (select seq, flow_id, payload_len::double as v, count(*) over (partition by flow_id) as n, sum(payload_len::double) over (partition by flow_id) as s from flowed)
+        select technique, round(sum(abs(case when n > 1 then s / n - (s - v) / (n - 1) else 0.0 end)), 4) as drop, count(*) as n_items from b join (select distinct flow_id, technique from consensus) c on c.flow_id = b.flow_id group by 1""",
+    "standardized": "with c as (select context_id, packet_count::double as p from flow_context where packet_count is not null) select context_id, round((p - (select avg(p) from c)) / greatest((select stddev_pop(p) from c), 1e-6), 6) as packets from c",
+    "adjacency_stored": f"with {_LK} select src, dst, n from lk where src in (select distinct src from lk order by src limit 10)",
+    "pending_items": f"select distinct {sqlkit.flow_id('flow_id')} as fid from flow_state where {sqlkit.flow_id('flow_id')} is not null and {sqlkit.flow_id('flow_id')} not in (select {sqlkit.flow_id('flow_id')} from flow_context where {sqlkit.flow_id('flow_id')} is not null)",
     "json_rows": """with j as (select context_id, '{"context_id":' || context_id || ',"packet_count":' || coalesce(packet_count, 0) || ',"timed":' || case when not isnan(duration_seconds) and abs(duration_seconds) < 1e12 then 'true' else 'false' end || '}' as json from flow_context)
         select context_id, json, '{}' as left_out, greatest(length(json) // 4, 1)::bigint as n_tokens from j""",
     "request_collection": "select doc_id, 'GET /case/' || doc_id || ' HTTP/1.1' as line, coalesce(source, '-') as host from documents where text is not null and doc_id % 5 <> 0",

@@ -235,7 +235,7 @@ def rolling_features(spark: SparkSession, d: str) -> DataFrame:
 
 def length_sequence(spark: SparkSession, d: str) -> DataFrame:
     f = flows.assign_flows(views.packets(spark, d))
-    seq = windows.length_sequence(f, "flow_id", ["ts", "seq"], F.when(F.col("is_fwd"), F.col("ip_len")).otherwise(-F.col("ip_len")).cast("long"), 8)
+    seq = windows.length_sequence(f, "flow_id", ["ts", "seq"], F.when(F.col("is_fwd"), F.col("ip_len")).otherwise(-F.col("ip_len")).cast("long"), 32)
     return seq.select("flow_id", F.array_join("sequence", ",").alias("lengths"))
 
 
@@ -354,6 +354,6 @@ ORACLE = {
     "rolling_features": f"with {views.features_sql()} select flow_id, " + ", ".join(_ROLLING_SQL) + f" from feats window p as (partition by src_ip, dst_ip order by flow_start_ts, flow_id {_ROLL}), d as (partition by dst_ip order by flow_start_ts, flow_id {_ROLL})",
     "rolling_pair": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, round(avg(payload_len) over w, 6) as payload_350, cast(count(distinct dst_port) over w as bigint) as ports_350, cast(sum((dst_port in (53, 5353))::int) over w as bigint) as dns_350 from pkt window w as (partition by src_ip, dst_ip order by ts, seq {_ROLL})",
     "rolling_destination": f"with {views.PACKETS_SQL} select seq, cast(sum(ip_len) over w as bigint) as bytes_350, cast(sum((dst_port in (80, 443, 8080, 8443))::int) over w as bigint) as web_350, round(avg(payload_len) over w, 6) as payload_350 from pkt window w as (partition by dst_ip order by ts, seq {_ROLL})",
-    "length_sequence": f"with {views.flowed_sql()}, r as (select flow_id, case when is_fwd then ip_len else -ip_len end as v, row_number() over (partition by flow_id order by ts, seq) as r from flowed), k as (select flow_id, unnest(range(1, 9)) as r from (select distinct flow_id from flowed)) select k.flow_id, string_agg(coalesce(v, 0)::varchar, ',' order by k.r) as lengths from k left join r on k.flow_id = r.flow_id and k.r = r.r group by 1",
+    "length_sequence": f"with {views.flowed_sql()}, r as (select flow_id, case when is_fwd then ip_len else -ip_len end as v, row_number() over (partition by flow_id order by ts, seq) as r from flowed), k as (select flow_id, unnest(range(1, 33)) as r from (select distinct flow_id from flowed)) select k.flow_id, string_agg(coalesce(v, 0)::varchar, ',' order by k.r) as lengths from k left join r on k.flow_id = r.flow_id and k.r = r.r group by 1",
     "packet_rank": f"with {views.flowed_sql()}, a as (select *, row_number() over o - 1 as pos, count(*) over (partition by flow_id) as n, coalesce(round(ts - lag(ts) over o, 3), 0.0) as gap from flowed window o as (partition by flow_id order by ts, seq)), b as (select *, 1.0::double - pos / greatest(n - 1, 1) as temp from a), s as (select seq, flow_id, round({_mm('payload_len')} * 0.4::double + {_mm('gap')} * 0.3::double + {_mm('flags')} * 0.2::double + {_mm('temp')} * 0.1::double, 6) as score from b window e as (partition by flow_id)), r as (select *, cast(row_number() over (partition by flow_id order by score desc, seq) as integer) as rank from s) select seq, score, rank from r where rank <= 5",
 }

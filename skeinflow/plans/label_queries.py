@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions import canon
 from skeinflow.operators import evidence, flows, graph, labels, metrics, reports
-from skeinflow.operators.ranking import hash_order
+from skeinflow.operators.ranking import distributed_rank, hash_order
 from skeinflow.plans import sqlkit
 from skeinflow.plans.eval_queries import _LOGITS as LOGITS_SQL
 from skeinflow.plans.eval_queries import _logits
@@ -258,8 +258,9 @@ def node_visits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hot_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The 20 most linked hosts."""
-    return node_visits(spark, d).limit(20)
+    """Every host with its links and its place in the cache: most linked first, ties by name. Places come from the magnitude of the links, ranked by many tasks."""
+    e = graph.both_ways(_links(spark, d)).groupBy("src").agg(F.sum("n").alias("visits"))
+    return distributed_rank(e.withColumn("_all", F.lit(0)), ["_all"], [F.desc("visits"), "src"], -F.floor(F.log2("visits")), "place", "_n").select("src", "visits", "place")
 
 
 def label_alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +343,7 @@ ORACLE = {
     "template_report": f"with {_FS} select state_id, 'Flow ' || coalesce(fid, 'unknown') || ' from ' || coalesce(src_host, 'unknown') || ' to ' || coalesce(dst_host, 'unknown') || ' was labelled ' || coalesce(label, 'unknown') || ' after ' || coalesce(packet_count, 0) || ' packets.' as report from st",
     "loss_terms": f"with {LOGITS_SQL}, y as (select node_id, flow_y % 4 as y4 from graph_flow where flow_y is not null), pr as (select y4, count(*) / (select count(*) from y)::double as p from y group by 1), e as (select lg.node_id, y4, l, list_transform(l, lambda x: exp(x - list_max(l))) as e from lg join y on lg.node_id = y.node_id), p as (select node_id, l, e[y4 + 1] / list_sum(e) as p from e), b as (select node_id, [l[1] - ln((select p from pr where y4 = 0)), l[2] - ln((select p from pr where y4 = 1)), l[3] - ln((select p from pr where y4 = 2)), l[4] - ln((select p from pr where y4 = 3))] as lb, p from p) select node_id, round(-ln(greatest(p, 1e-12)), 5) as cross_entropy, round(-ln(greatest(p, 1e-12)) * (1 - p) * (1 - p), 5) as focal, cast(list_position(lb, list_max(lb)) - 1 as integer) as adjusted from b",
     "edge_dropout": f"with {_LK}, h as (select *, md5('a1|' || src || '|' || dst) as h from lk) select case when substr(h, 2, 1) < '4' then dst else src end as src, case when substr(h, 2, 1) < '4' then src else dst end as dst, n from h where substr(h, 1, 1) < '8'",
-    "hot_nodes": f"with {_LK}, b as (select src, n from lk union all select dst, n from lk) select src, cast(sum(n) as bigint) as visits from b group by 1 order by visits desc, src limit 20",
+    "hot_nodes": f"with {_LK}, b as (select src, n from lk union all select dst, n from lk) select src, cast(sum(n) as bigint) as visits, row_number() over (order by sum(n) desc, src) as place from b group by 1",
     "label_alignment": "with c as (select coalesce(nullif(lower(trim(label)), ''), 'unknown') as label, count(*) as n from flow_context group by 1) select c.label, c.n, t.class_id from c left join traffic_class t on c.label = t.label",
     "attention_max": f"with {_LK}, m as (select *, max(ln(1 + n)) over (partition by dst) as m from lk), e as (select *, exp(ln(1 + n) - m) as e from m), a as (select src, e / sum(e) over (partition by dst) as a from e) select src, round(max(a), 6) as attention from a group by 1",
     "first_tactic": "with t as (select substr(technique_id, 1, 3) as prefix, family, class_id, row_number() over (partition by substr(technique_id, 1, 3) order by class_id) as r from traffic_class where technique_id is not null) select prefix, family, class_id from t where r = 1",

@@ -30,6 +30,17 @@ def read_artifact(spark: SparkSession, path: str, kinds: list[str]) -> tuple[dic
     return {k: spark.read.parquet(os.path.join(path, "nodes", k)) for k in kinds}, spark.read.parquet(os.path.join(path, "edges")), meta
 
 
+def write_adjacency(edges: DataFrame, path: str) -> None:
+    """Edges (rel, src, dst, ...) by relation, in ranges of ``src`` and sorted by (src, dst) within: readers of few nodes skip the other row groups."""
+    ordered = edges.repartitionByRange("rel", "src").sortWithinPartitions("rel", "src", "dst")
+    ordered.write.mode("overwrite").partitionBy("rel").parquet(path)
+
+
+def neighbours_of(spark: SparkSession, path: str, rel: str, nodes: list) -> DataFrame:
+    """The edges of a relation that leave the given nodes (a short list, pushed down to the files)."""
+    return spark.read.parquet(path).where((F.col("rel") == rel) & F.col("src").isin(nodes))
+
+
 def write_splits(path: str, splits: DataFrame) -> None:
     """Long table (protocol, split, flow_id)."""
     splits.select("protocol", "split", "flow_id").write.mode("overwrite").partitionBy("protocol").parquet(path)
