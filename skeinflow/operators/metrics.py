@@ -141,10 +141,11 @@ def calibrate_bias(df: DataFrame, truth: str, scores_col: str, n_classes: int, r
 
 
 def bootstrap_mean(df: DataFrame, by: str, value: str, reps: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """by, mean, low, high: a group's mean with a bootstrap interval.
+    """by, mean, low, high: a group's mean with a bootstrap interval; null and NaN values do not count.
 
-    Each batch draws Poisson weights for its rows and keeps, per group, one weighted sum and count a repetition;
-    those are added up, so the data is read once and reps rows per group and task are shuffled.
+    Rows of one group and value are interchangeable, so they are counted first, and each such cell draws one Poisson number a repetition
+    with its count as mean, from a seed of its own content: the result does not depend on the partitioning. Per group a task
+    keeps one weighted sum and count a repetition, and only those are shuffled after the cells.
     """
     import numpy as np
     import pandas as pd
@@ -152,20 +153,19 @@ def bootstrap_mean(df: DataFrame, by: str, value: str, reps: int = 1000, seed: i
     kinds = dict(df.dtypes)
 
     def draw(batches):
-        part = None
-        for n, b in enumerate(batches):
-            if part is None:
-                from pyspark import TaskContext
-
-                part = TaskContext.get().partitionId()
-            rng = np.random.default_rng([seed, part, n])
-            for g, rows in b.groupby(by, dropna=False, sort=True):
-                x = rows[value].to_numpy(dtype=np.float64)
-                x = x[~np.isnan(x)]
-                w = np.vstack([np.ones(len(x)), rng.poisson(1.0, (reps, len(x)))])
-                yield pd.DataFrame({by: pd.Series([None if pd.isna(g) else g] * (reps + 1), dtype="object"), "rep": np.arange(reps + 1), "s": w @ x, "w": w.sum(axis=1)})
-
-    sums = df.select(by, F.col(value).cast("double").alias(value)).mapInPandas(draw, f"`{by}` {kinds[by]}, rep int, s double, w double")
+        held: dict = {}
+        for b in batches:
+            for g, x, n, h in zip(b[by], b["_x"], b["_n"], b["_h"], strict=True):
+                sums, weights = held.setdefault(None if pd.isna(g) else g, (np.zeros(reps + 1), np.zeros(reps + 1)))
+                w = np.concatenate([[n], np.random.default_rng([seed, h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF]).poisson(n, reps)])
+                sums += w * x
+                weights += w
+        for g, (sums, weights) in held.items():
+            yield pd.DataFrame({by: pd.Series([g] * (reps + 1), dtype="object"), "rep": np.arange(reps + 1), "s": sums, "w": weights})
+
+    x = F.col(value).cast("double")
+    cells = df.select(by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x")).groupBy(by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    sums = cells.withColumn("_h", F.xxhash64(by, "_x")).mapInPandas(draw, f"`{by}` {kinds[by]}, rep int, s double, w double")
     per = sums.groupBy(by, "rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     point = F.max(F.when(F.col("rep") == 0, F.col("m")))

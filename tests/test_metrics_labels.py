@@ -82,6 +82,15 @@ def test_calibration_reaches_far_biases(spark):
     assert wrong == 0 and bias[1] - bias[0] > 4.6
 
 
+def test_bootstrap_of_means_does_not_depend_on_partitions(spark):
+    rows = [("a", float(i % 7)) for i in range(200)] + [("b", 3.0), ("b", None), ("b", float("nan")), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    one, two = ({r["g"]: tuple(round(x, 9) for x in r[1:]) for r in metrics.bootstrap_mean(df.repartition(n), "g", "v", reps=100).collect()} for n in (1, 5))
+    mean = sum(v for g, v in rows if g == "a") / 200
+    assert one == two and one["a"][0] == round(mean, 9) and one["a"][1] < mean < one["a"][2] and one["b"] == (3.0, 3.0, 3.0) and one[None] == (1.0, 1.0, 1.0)
+    assert metrics.bootstrap_mean(df.limit(0), "g", "v").count() == 0
+
+
 def test_default_repetitions():
     for f in (metrics.bootstrap, metrics.bootstrap_mean):
         assert inspect.signature(f).parameters["reps"].default == 1000
