@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("placeholder", "filler", "error", "script_notice")
 
+CONTEXT = 2000
+
 #: Section marks that open lines of graph texts, and tokenizer marks, which stand anywhere. Both look like bracketed placeholders.
 SECTION_MARKS = ("FLOW", "EDGE", "PACKET", "HEX", "TOKENS", "NOTE")
 TOKENIZER_MARKS = ("PAD", "UNK", "CLS", "SEP", "MASK", "BOS", "EOS")
@@ -234,10 +236,12 @@ def _placeholder(text: str, raw: str) -> bool:
     for start, end, kind in hits:
         begin = text.rfind("\n", 0, start) + 1
         stop = text.find("\n", end)
-        line = text[begin : stop if stop >= 0 else len(text)]
+        # Context is the line, of a very long one what lies within ``CONTEXT`` characters, so a text of one line and many hits takes no square of time.
+        opens, begin = begin, max(begin, start - CONTEXT)
+        line = text[begin : min(stop if stop >= 0 else len(text), end + CONTEXT)]
         if kind == "square_caps":
             mark = text[start + 1 : end - 1].replace(" ", "")
-            if mark in TOKENIZER_MARKS or mark in LOG_MARKS or (mark in SECTION_MARKS and _STRAY.fullmatch(text, begin, start)):
+            if mark in TOKENIZER_MARKS or mark in LOG_MARKS or (mark in SECTION_MARKS and _STRAY.fullmatch(text, opens, start)):
                 continue
         if _quoted(line, start - begin, end - begin):
             continue
@@ -439,7 +443,7 @@ def _error_body(text: str) -> bool:
     if head == "<" and _MARKUP_ERROR.match(text):
         return True
     lines = [line for line in text.split("\n") if line]
-    traced = [bool(_TRACE_LINE.match(line)) for line in lines[:200]]
+    traced = [bool(_TRACE_LINE.match(line)) for line in lines]
     return any(traced) and (traced[0] or 3 * sum(traced) >= len(lines))
 
 

@@ -265,7 +265,7 @@ def _keyed(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("node_id", "source", "side", "flow_y")], v, pa.array(keys, pa.binary())], ["node_id", "source", "side", "flow_y", "v", "_k"])
 
     side = F.lower(F.trim("split"))
-    used = nodes.select("node_id", "source", side.alias("side"), "flow_y", F.col("node_features").alias("features"))
+    used = nodes.select(F.col("node_id").cast("long").alias("node_id"), F.col("source").cast("string").alias("source"), side.alias("side"), F.col("flow_y").cast("int").alias("flow_y"), F.col("node_features").alias("features"))
     used = used.where(F.col("side").isin("train", "val", "test") & F.col("features").isNotNull())
     return used.mapInArrow(run, "node_id long, source string, side string, flow_y int, v array<double>, _k binary")
 

@@ -156,6 +156,13 @@ def test_residue_in_texts_from_elsewhere(texts):
     assert len(foreign_texts.HELD_OUT) >= 200 and not {t for _, t in foreign_texts.DEV} & {t for _, t in foreign_texts.HELD_OUT}
 
 
+def test_residue_in_very_long_lines_and_traces():
+    quoted = 'the reply held "{{ name }}" again, ' * 30_000
+    assert classify(quoted) is None and classify(quoted + "Host ${src_host} came back.") == "placeholder"
+    trace = "app.Failure: broken\n" + "\tat app.Main.run(Main.java:5)\n" * 900
+    assert classify(trace) == "error" and classify("Report of the night\n" + trace) == "error"
+
+
 def test_residue_density_and_code():
     tutorial = "A template engine expands each tag. The syntax is short: the variable name stands in braces, so write {{ name }} or {{ city }} where the value goes."
     assert classify(tutorial) is None and classify("Name: {{ name }}\nCity: {{ city }}") == "placeholder"
