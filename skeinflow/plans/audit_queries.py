@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.functions import canon
+from skeinflow.functions import payload as P
 from skeinflow.operators import evidence, flows, labels, metrics, reports, splits
 from skeinflow.plans import sqlkit
 from skeinflow.plans.flow_queries import CONSENSUS_SQL, RULES_SQL
 from skeinflow.plans.graph_queries import _LK, _links
 from skeinflow.plans.model_queries import feature_rows
 from skeinflow.plans.stream_queries import _drain, _streamed
-from skeinflow.plans.text_queries import _ED, _edges, class_map, payloads
+from skeinflow.plans.text_queries import _BY, _ED, _HX, _edges, class_map, payloads
 from skeinflow.session import materialize, scratch
 from skeinflow.sources import stores, views
 from skeinflow.sources.tables import packet_events, table
@@ -183,11 +184,45 @@ def baseline_boosted(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summary(metrics.scores(metrics.class_counts(got, "t", "p", ["split"])), ["split"])
 
 
+def payload_vector_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of every payload vector in figures: size, histogram total, entropy, printable and zero shares, hashed total, ordered total."""
+    v = P.payload_vectors(payloads(spark, d), "doc_id", "payload")
+    n = P.HISTOGRAM
+
+    def total(first: int, size: int) -> F.Column:
+        return F.round(F.aggregate(F.slice("vector", first, size), F.lit(0.0), lambda a, x: a + x.cast("double")), 4)
+
+    def at(i: int) -> F.Column:
+        return F.round(F.get("vector", F.lit(i)).cast("double"), 4)
+
+    ordered = n + P.DERIVED + P.HASHED + P.STRUCTURE + 1
+    return v.select(
+        "doc_id", F.size("vector").alias("size"), total(1, n).alias("histogram"), at(n).alias("entropy"), at(n + 1).alias("printable"), at(n + 2).alias("zeros"),
+        total(n + P.DERIVED + 1, P.HASHED).alias("hashed"), total(ordered, P.ORDERED).alias("ordered"),
+    )
+
+
+def flow_payload_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The mean payload vector of each flow in figures: mean entropy and mean share of the byte 0x20."""
+    from skeinflow.plans.extra_queries import flow_payload_mean
+
+    m = flow_payload_mean(spark, d)
+    return m.select("flow", F.round(F.get("mean_vector", F.lit(P.HISTOGRAM)), 4).alias("entropy"), F.round(F.get("mean_vector", F.lit(0x20)), 4).alias("blanks"))
+
+
+def rendered_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The report of every flow's evidence bundle, by sections."""
+    from skeinflow.plans.label_queries import evidence_bundles
+
+    text = reports.render("flow_id", "src_ip", "dst_ip", "label", "n_packets", "packets", "techniques", "paths")
+    return evidence_bundles(spark, d).select("flow_id", F.length(text).alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         report_validation, json_rows, request_collection, request_targets, anchor_statistics, anchor_quantiles, anchor_thresholds, class_families, row_graphs, bundle_parts, log_sealed, stream_hot_flows,
-        sparsity_scores, technique_drops, standardized, adjacency_stored, pending_items, baseline_boosted,
+        sparsity_scores, technique_drops, standardized, adjacency_stored, pending_items, baseline_boosted, payload_vector_parts, flow_payload_parts, rendered_reports,
     )
 }
 
@@ -232,6 +267,20 @@ ORACLE = {
         grounding_rate, n_unknown_entities, n_overclaims, caution_pass, safety_pass, grounding_rate >= 0.9 and n_unknown_entities = 0 and n_overclaims = 0 and caution_pass and safety_pass as overall_pass from z left join v on v.doc_id = z.doc_id""",
     "report_claims": f"""with x as (select coalesce(nullif(lower(trim(kind)), ''), 'none') as label, unnest({_cut('text', False)}) as c from documents where text is not null)
         select label, count(*) as n_claims, cast(sum(regexp_matches(c, '[0-9]')::int) as bigint) as with_numbers, max(strlen(c)) as longest from x group by 1""",
+    "payload_vector_parts": f"""with {_HX}, {_BY}, c as (select doc_id, b, count(*) / max(n)::double as p from byt group by 1, 2), e as (select doc_id, -sum(p * log2(p + 1e-12)) as entropy, sum(case when b between 32 and 126 then p else 0 end) as printable, sum(case when b = 0 then p else 0 end) as zeros from c group by 1),
+        o as (select doc_id, sum((b / 255.0::double)::float::double) filter (where i < 256) as s from byt group by 1)
+        select hx.doc_id, 2579 as size, case when n > 0 then 1.0 else 0.0 end::double as histogram, round(coalesce(entropy, 0.0)::float::double, 4) + 0.0 as entropy, round(coalesce(printable, 0.0)::float::double, 4) as printable, round(coalesce(zeros, 0.0)::float::double, 4) as zeros,
+        case when n > 3 then 1.0 else 0.0 end::double as hashed, round(coalesce(s, 0.0), 4) as ordered from hx left join e on e.doc_id = hx.doc_id left join o on o.doc_id = hx.doc_id""",
+    "flow_payload_parts": f"""with {_HX}, {_BY}, c as (select doc_id, b, count(*) / max(n)::double as p from byt group by 1, 2), e as (select doc_id, (-sum(p * log2(p + 1e-12)))::float::double as entropy, coalesce(max(p) filter (where b = 32), 0.0)::float::double as blanks from c group by 1)
+        select flow, round(avg(coalesce(entropy, 0.0)), 4) as entropy, round(avg(coalesce(blanks, 0.0)), 4) as blanks from hx left join e on e.doc_id = hx.doc_id where flow is not null group by 1""",
+    "rendered_reports": f"""{_FL}, {RULES_SQL}, {CONSENSUS_SQL}, b as (select *, row_number() over (partition by flow_id order by payload_len desc, seq) as r, count(*) over (partition by flow_id) as n from flowed), top as (select * from b where r <= 5),
+        nx as (select flow_id, lag(seq) over w as src, seq as dst from flowed window w as (partition by flow_id order by ts, seq)), px as (select flow_id, string_agg(src || ' to ' || dst, chr(10) order by src, dst) as t from nx where src in (select seq from top) and dst in (select seq from top) group by 1),
+        pk as (select flow_id, string_agg('Packet ' || seq || ' carries ' || payload_len || ' bytes. [E_PKT_' || lpad(r::varchar, 3, '0') || ']', chr(10) order by r) as t from top group by 1),
+        te as (select flow_id, string_agg('Technique ' || technique || ' has weight ' || printf('%.2f', weight) || '. [E_MITRE_' || lpad(i::varchar, 3, '0') || ']', chr(10) order by i) as t from (select *, row_number() over (partition by flow_id order by technique, weight) as i from consensus) group by 1),
+        hd as (select flow_id, arg_min(src_ip, (ts, seq)) as s, arg_min(dst_ip, (ts, seq)) as d, arg_min(label, (ts, seq)) as l, count(*) as n from flowed group by 1),
+        tx as (select hd.flow_id, 'SUMMARY' || chr(10) || 'Flow ' || hd.flow_id || ' from ' || s || ' to ' || d || ' was labelled ' || l || ' after ' || n || ' packets. [E_FLOW_001]' || chr(10) || 'EVIDENCE' || chr(10) || pk.t
+          || coalesce(chr(10) || 'TECHNIQUES' || chr(10) || te.t || chr(10) || 'This is statistical evidence, not a signature.', '') || coalesce(chr(10) || 'PATHS' || chr(10) || px.t, '') as x from hd join pk on pk.flow_id = hd.flow_id left join te on te.flow_id = hd.flow_id left join px on px.flow_id = hd.flow_id)
+        select flow_id, length(x) as n_chars, md5(x) as text_md5 from tx""",
     "sparsity_scores": "select context_id, round(case when context_id % 13 = 0 then 0.0 else 1.0::double - least(context_id % 7, context_id % 13)::double / (context_id % 13) end, 6) as sparsity from flow_context",
     "technique_drops": f"""{_FL}, {RULES_SQL}, {CONSENSUS_SQL}, b as (select seq, flow_id, payload_len::double as v, count(*) over (partition by flow_id) as n, sum(payload_len::double) over (partition by flow_id) as s from flowed)
         select technique, round(sum(abs(case when n > 1 then s / n - (s - v) / (n - 1) else 0.0 end)), 4) as drop, count(*) as n_items from b join (select distinct flow_id, technique from consensus) c on c.flow_id = b.flow_id group by 1""",

@@ -40,6 +40,14 @@ def test_validation(spark):
     assert r["overall_pass"] and r["n_entailed"] == 0
 
 
+def test_repair_leaves_only_what_holds(spark):
+    text = "Host 10.0.0.1 shows a scan. [E_ALERT] Host 10.0.0.9 shows more. [E_ALERT] The confidence is 0.31. It was noon."
+    df = spark.createDataFrame([(text, ["10.0.0.1"], ["E_ALERT"], [0.88])], "t string, e array<string>, i array<string>, n array<double>")
+    for needs, want in ((False, "It was noon."), (True, "It was noon. Technique links are statistical evidence.")):
+        got = df.select(reports.repaired("t", F.col("e"), F.col("i"), F.col("n"), F.lit(needs)).alias("r")).first()["r"]
+        assert got == want  # the first two sentences are one claim, as no cut follows a citation
+
+
 def test_json_leaves_out_what_json_cannot_hold(spark):
     df = spark.createDataFrame([(1, math.nan, "a"), (2, 2.5, None), (3, math.inf, "b")], "k long, v double, s string")
     text = reports.json_safe([("k", F.col("k")), ("v", F.col("v")), ("s", F.col("s"))], ("v",))
