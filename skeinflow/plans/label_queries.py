@@ -36,6 +36,14 @@ def label_isolation(spark: SparkSession, d: str) -> DataFrame:
     return _isolated(spark, d).select("doc_id", "label", "clean_label")
 
 
+def label_isolation_by_capture(spark: SparkSession, d: str) -> DataFrame:
+    """The same within one capture: an attack elsewhere on the same flow id says nothing about this one. The source of a document stands for the capture."""
+    origin = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("capture"))
+    r = _requests(spark, d).join(origin, "doc_id").withColumn("seen", F.concat_ws("|", "capture", "flow"))
+    out = labels.isolate(r, "label", "seen", labels.request_matches(F.col("request"), F.col("label"), LITERALS), list(LITERALS), "benign")
+    return out.select("doc_id", "label", "clean_label")
+
+
 def isolation_audit(spark: SparkSession, d: str) -> DataFrame:
     return labels.isolation_audit(_isolated(spark, d), "label")
 
@@ -299,7 +307,7 @@ def literal_extraction(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        label_isolation, isolation_audit, answer_key, key_overlap, anchor_sweep, mask_audit, rare_classes, class_composition, top_ports, row_features, port_pair, parsed_lists,
+        label_isolation, label_isolation_by_capture, isolation_audit, answer_key, key_overlap, anchor_sweep, mask_audit, rare_classes, class_composition, top_ports, row_features, port_pair, parsed_lists,
         store_flow_stats, flow_technique_topk, literal_coverage, hits_per_connection, capture_fanout, flow_basic, text_endpoints, graph_text, report_verification, report_claims,
         report_metrics, counterfactual_drop, pruned_links, evidence_bundles, packet_lists, template_report, loss_terms, edge_dropout, node_visits, hot_nodes, label_alignment, attention_max,
         first_tactic, source_precedence, literal_extraction,
@@ -315,6 +323,7 @@ _ST4 = ", ".join(f"coalesce((case when flow_feature_stats['{k}'] is null or isna
 _FID_MIN = "select {fid} as fid, min(nullif(lower(trim({label})), '')) as l from {t} where {fid} is not null group by 1"
 ORACLE = {
     "label_isolation": f"with {_REQ} select * from iso",
+    "label_isolation_by_capture": f"with {_REQ.replace(', text, doc_id', " || '|' || coalesce(source, 'none') as flow, text, doc_id").replace(" as flow || '|'", " || '|'")} select * from iso",
     "isolation_audit": f"with {_REQ} select label, count(*) as total, count(*) filter (where clean_label = label) as kept, count(*) filter (where clean_label <> label) as demoted from iso group by 1",
     "answer_key": f"with {_FS}, k as (select distinct {sqlkit.flow_id('flow_id')} as fid from flow_context) select st.label, case when st.label in (select label from traffic_class where class_id > 0) and k.fid is null then 'benign' else st.label end as clean_label, count(*) as n from st left join k on st.fid = k.fid group by 1, 2",
     "key_overlap": f"with {_FS}, a as (select distinct fid from st where fid is not null), b as {_PE_FID} select 'both' as part, count(*) as n from a where fid in (select fid from b) union all select 'records_only', count(*) from a where fid not in (select fid from b) union all select 'packets_only', count(*) from b where fid not in (select fid from a)",

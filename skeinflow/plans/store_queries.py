@@ -80,6 +80,17 @@ def class_map_csv(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.class_map(knowledge.read_csv(spark, path, "label string, technique string, weight string"), known)
 
 
+def stix_literals(spark: SparkSession, d: str) -> DataFrame:
+    """The class table written as a bundle of technique objects, and the literals set as code in their descriptions; a revoked object and one without technique are left out."""
+    path = scratch(spark, "stix")
+    refs = F.array(F.struct(F.lit("other").alias("source_name"), F.lit("x").alias("external_id")), F.struct(F.lit("mitre-attack").alias("source_name"), F.col("technique_id").alias("external_id")))
+    text = F.concat(F.lit("Seen as <code>"), F.upper("label"), F.lit("\n probe</code> and `"), F.col("family"), F.lit("`."))
+    each = F.struct(F.lit("attack-pattern").alias("type"), F.col("label").alias("name"), text.alias("description"), (F.col("class_id") == 5).alias("revoked"), refs.alias("external_references"))
+    bundle = table(spark, d, "traffic_class").agg(F.to_json(F.struct(F.collect_list(each).alias("objects"))).alias("value"))  # a fixed table of 14 rows
+    bundle.coalesce(1).write.text(path)
+    return knowledge.literal_dictionary(knowledge.techniques(spark, path))
+
+
 def tls_records(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the records of made payloads: the text in one record, a second record of three bytes, then what is none."""
     docs = payloads(spark, d).where(F.length("payload").between(1, 16000))
@@ -132,7 +143,7 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        capture_round_trip, log_shards, log_retained, splits_stored, artifact_stored, class_map_csv, tls_records, tls_hello, stream_fanout, stream_enriched, stream_alerts,
+        capture_round_trip, log_shards, log_retained, splits_stored, artifact_stored, class_map_csv, stix_literals, tls_records, tls_hello, stream_fanout, stream_enriched, stream_alerts,
     )
 }
 
@@ -147,6 +158,7 @@ ORACLE = {
     "artifact_stored": f"with {_FS} select 'flow' as part, count(*) as n from st union all select 'from_host', count(*) from st where src_host is not null union all select 'to_host', count(*) from st where dst_host is not null",
     "class_map_csv": """select label, technique_id as technique, case when class_id % 3 = 0 then 1.0 else class_id / 10.0 end::double as map_weight from traffic_class
         where technique_id is not null and class_id <> 5 and technique_id in (select technique_id from traffic_class where class_id <> 7)""",
+    "stix_literals": "with t as (select * from traffic_class where technique_id is not null and class_id <> 5) select distinct lower(label) || ' probe' as pattern, technique_id as technique from t where family is not null union select lower(family), technique_id from t where family is not null",
     "tls_records": f"with {_HX} select doc_id, n || ',3' as sizes from hx where n between 1 and 16000",
     "tls_hello": f"with {_HX}, j as (select doc_id, flow, '771,' || (doc_id % 200 + 4096) || ',0,,' as ja3 from hx where flow is not null and length(flow) < 200) select doc_id, ja3, md5(ja3) as ja3_md5, flow as sni from j",
     "stream_fanout": """with w as (select user_id, date_trunc('day', ts) as s, count(*) as n_packets, cast(sum(case when value > 50 then 1 else 0 end) as bigint) as n_syn, count(distinct event_type) as n_targets from events group by 1, 2)
