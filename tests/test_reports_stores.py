@@ -118,6 +118,29 @@ def test_hot_buffer_keeps_the_newest_within_its_time(spark, tmp_path):
     assert [r for r in got if r[0] == "a" and r[4] == 120_000][0][1:3] == (1, 1)
 
 
+def test_hot_buffer_works_on_many_flows_at_once(spark, tmp_path):
+    schema = "flow_id string, at_ms long, seq long, size long"
+    spark.range(6000).selectExpr("concat('f', id % 2000) as flow_id", "1000 + id as at_ms", "id as seq", "id as size").coalesce(1).write.parquet(str(tmp_path / "in"))
+    run_available(hot_flows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 60_000, 2), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((f"f{i}", 2, 6000 + 2 * i, 3000 + i, 5000 + i, 1) for i in range(2000))
+    assert 0 < spark.read.format("statestore").load(str(tmp_path / "c")).count() <= 1024
+
+
+def test_hot_buffer_flows_of_a_bucket_keep_their_own_timers(spark, tmp_path):
+    schema = "flow_id string, at_ms long, seq long, size long"
+    first = [("a", t * 1000, t, 10) for t in range(1, 501)] + [("b", 497_000, 501, 1), ("c", 499_000, None, 100), ("c", 499_000, 5, 7), ("c", 499_000, 6, None)]
+    got = []
+    for k, part in enumerate([first, [("d", 530_000, 600, 1), ("b", 530_000, 601, 2)], [("d", 565_000, 700, 1)], [("a", 566_000, 800, 3), ("b", 566_000, 801, 4)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_available(hot_flows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 60_000, 2, buckets=1, block=50), str(tmp_path / "out"), str(tmp_path / "c"))
+        rows = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        got.append(sorted(rows - {r for x in got for r in x}))
+    assert got[0] == [("a", 2, 20, 499_000, 500_000, 498), ("b", 1, 1, 497_000, 497_000, 0), ("c", 2, 7, 499_000, 499_000, 1)]
+    assert got[1] == [("b", 2, 3, 497_000, 530_000, 0), ("d", 1, 1, 530_000, 530_000, 0)] and got[2] == [("d", 2, 2, 530_000, 565_000, 0)]
+    assert got[3] == [("a", 1, 3, 566_000, 566_000, 0), ("b", 2, 6, 530_000, 566_000, 1)]  # a's timer took all of it, b's only what had expired
+
+
 def test_stream_fan_out_is_exact_by_default(spark, tmp_path):
     rows = [(f"2024-02-01 00:00:{i % 60:02d}", "a", f"t{i % 37}", 2 if i % 2 else 0) for i in range(200)] + [("2024-02-01 03:00:00", "a", "t", 0)]
     df = spark.createDataFrame(rows, "t string, src_ip string, dst_ip string, flags int").select(F.to_timestamp("t").alias("at"), "src_ip", "dst_ip", "flags")
